@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from orderflow.llm import simhash
+from orderflow.llm import pieces, quality_rules, simhash
 
 
 def queries() -> dict:
     """The numbered queries by name."""
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op3_sentencepiece": pieces.op3_sentencepiece,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express."""
-    return {}
+    return {
+        "op4_quality_rules": quality_rules.op4_oracle(),
+    }

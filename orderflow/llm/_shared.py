@@ -51,3 +51,17 @@ def drop_written(df: DataFrame | None) -> None:
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def text_slices(batch, column: str, most_bytes: int = 4 << 20):
+    """Cut an Arrow batch so that each slice holds few bytes of text, or a single row."""
+    import pyarrow.compute as pc
+
+    size, at = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), 0
+    while at < len(size):
+        end, held = at + 1, size[at]
+        while end < len(size) and held + size[end] <= most_bytes:
+            held += size[end]
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
