@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderflow.llm import decontaminate, pieces, quality_rules, simhash
+from orderflow.llm import decontaminate, pieces, quality_rules, secret_scan, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_secret_scan": secret_scan.op5_secret_scan,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     }
 
@@ -19,5 +20,6 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express."""
     return {
         "op4_quality_rules": quality_rules.op4_oracle(),
+        "op5_secret_scan": secret_scan.op5_oracle(),
         "op10_benchmark_decontamination": decontaminate.op10_oracle(),
     }
