@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderflow.llm import decontaminate, pieces, quality_rules, secret_scan, simhash
+from orderflow.llm import decontaminate, html_extract, pieces, quality_rules, secret_scan, simhash, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_secret_scan": secret_scan.op5_secret_scan,
+        "op6_warc": warc.op6_warc,
+        "op7_html_extraction": html_extract.op7_html_extraction,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     }
 
@@ -21,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": quality_rules.op4_oracle(),
         "op5_secret_scan": secret_scan.op5_oracle(),
+        "op6_warc": warc.op6_oracle(),
         "op10_benchmark_decontamination": decontaminate.op10_oracle(),
     }
