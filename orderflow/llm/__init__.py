@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderflow.llm import decontaminate, html_extract, pieces, quality_rules, secret_scan, simhash, warc
+from orderflow.llm import decontaminate, html_extract, knn_quality, pieces, quality_rules, secret_scan, simhash, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_warc": warc.op6_warc,
         "op7_html_extraction": html_extract.op7_html_extraction,
+        "op8_knn_quality": knn_quality.op8_knn_quality,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     }
 
