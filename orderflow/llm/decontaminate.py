@@ -258,10 +258,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Rows are told apart by a hash of id and text, so null and repeated ids do no harm.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
-    hit = benchmark_matches(keyed, benchmark, slop=0, id_col="__key", text_col=text_col)
-    hit = hit.where(F.size("hit_begins") > 0).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(written(hit, "contaminated"), "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.xxhash64(id_col, text_col).alias("key"),
+        F.col(text_col).alias("text"),
+    )
+    hit = benchmark_matches(keyed, benchmark, slop=0, id_col="key").where(F.size("hit_begins") > 0)
+    hit = written(hit.select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return keyed.select("row", "key").join(hit, "key", "left_anti").select("row.*")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

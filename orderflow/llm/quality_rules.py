@@ -13,6 +13,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from orderflow.llm._shared import table, text_slices
 
@@ -87,14 +88,22 @@ def measured(text: str) -> tuple[int, ...]:
     )
 
 
-def _measure(batches):
-    for whole in batches:
-        for batch in text_slices(whole, "text"):
-            rows = [measured(x or "") for x in batch.column("text").to_pylist()]
-            found = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *found], [*batch.schema.names, *(f"__{m}" for m in MEASURES)]
-            )
+def _measure(text_col: str):
+    """A function for ``mapInArrow`` that adds the measures of a text column."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in text_slices(whole, text_col):
+                rows = [measured(x or "") for x in batch.column(text_col).to_pylist()]
+                found = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *MEASURES])
+
+    return run
+
+
+def _with_measures(rows: DataFrame, text_col: str) -> DataFrame:
+    fields = [StructField(m, LongType()) for m in MEASURES]
+    return rows.mapInArrow(_measure(text_col), StructType([*rows.schema.fields, *fields]))
 
 
 def _fail_bits() -> Column:
@@ -109,9 +118,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows are given as they come; other columns are not read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(["doc_id long", "text string", *(f"__{m} long" for m in MEASURES)])
-    got = own.mapInArrow(_measure, schema)
-    return got.select("doc_id", *(F.col(f"__{m}").alias(m) for m in MEASURES)).withColumn("fail_bits", _fail_bits())
+    got = _with_measures(own, "text").drop("text")
+    return got.withColumn("fail_bits", _fail_bits())
 
 
 def passes(fail_bits: Column, policy: str) -> Column:
@@ -141,14 +149,11 @@ def ablation(book: DataFrame, policy: str) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with their columns; names that begin with two underscores are ours."""
-    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col(text_col).cast("string").alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields)
-    got = named.mapInArrow(_measure, f"{fields}, " + ", ".join(f"__{m} long" for m in MEASURES))
-    got = got.select("*", *(F.col(f"__{m}").alias(m) for m in MEASURES))
-    return got.where(passes(_fail_bits(), policy)).select(
-        *(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns))
-    )
+    """The rows of ``docs`` that a policy keeps, with their columns. A null text has no words and goes."""
+    # positions for names, so that no column of docs can clash with a measure
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    got = _with_measures(named, f"c{docs.columns.index(text_col)}")
+    return got.where(passes(_fail_bits(), policy)).select(*named.columns).toDF(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

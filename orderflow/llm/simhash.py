@@ -164,16 +164,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = near_duplicate_classes(docs, id_col, text_col).where(
         F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
     )
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    own = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_hash": F.xxhash64(F.col(text_col))})
-    same = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash"))
-    once = Window.partitionBy("__own_id", "__own_hash").orderBy(F.lit(0))
-    return (
-        own.join(kept, same, "left_semi")
-        .withColumn("__n", F.row_number().over(once))
-        .where("__n = 1")
-        .select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    own = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col(id_col).cast("long").alias("own_id"),
+        F.xxhash64(F.col(text_col)).alias("own_hash"),
     )
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash"))
+    once = Window.partitionBy("own_id", "own_hash").orderBy(F.lit(0))
+    return own.join(kept, same, "left_semi").withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
