@@ -1,0 +1,83 @@
+"""The numbered queries against their SQL, and all operators on odd and on empty tables."""
+
+import pytest
+from helpers import rows_of, sql_rows
+from helpers_llm import DOCS, FOLDER, odd_documents
+from pyspark.sql import functions as F
+
+from orderflow import llm
+from orderflow.llm import decontaminate, html_extract, knn_quality, licenses, pieces, quality_rules, secret_scan, simhash, url_lists, warc
+from orderflow.llm._shared import scratch_path
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    assert rows_of(llm.queries()[name](spark, FOLDER)) == sql_rows(llm.oracle_sql()[name], FOLDER)
+
+
+def test_all_numbers_are_there():
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 11))
+
+
+BENCHMARK = "item_id long, text string"
+
+
+def operators(spark, docs):
+    bench = spark.createDataFrame([(1, "un deux"), (None, "seul"), (2, None)], BENCHMARK)
+    labels = docs.where("doc_id IS NOT NULL").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    return {
+        "simhash": lambda: simhash.near_duplicate_classes(docs),
+        "licenses": lambda: licenses.license_matches(docs),
+        "pieces": lambda: pieces.encode_pieces(docs, pieces.model_bytes()),
+        "ledger": lambda: quality_rules.ledger(docs),
+        "secrets": lambda: secret_scan.scan(docs),
+        "matches": lambda: decontaminate.benchmark_matches(docs, bench),
+        "no benchmark": lambda: decontaminate.benchmark_matches(docs, bench.limit(0)),
+        "knn": lambda: knn_quality.score(docs, knn_quality.fit(docs, labels)),
+        "redact": lambda: secret_scan.redact(docs),
+    }
+
+
+@pytest.mark.parametrize("name", ["simhash", "licenses", "pieces", "ledger", "secrets", "matches", "no benchmark", "knn", "redact"])
+def test_one_row_per_odd_row_and_none_for_none(spark, name):
+    docs = odd_documents(spark)
+    assert operators(spark, docs)[name]().count() == docs.count()
+    assert operators(spark, spark.createDataFrame([], DOCS))[name]().count() == 0
+
+
+def test_filters_keep_columns(spark):
+    docs, bench = odd_documents(spark), spark.createDataFrame([(1, "un deux")], BENCHMARK)
+    deduped = simhash.drop_near_duplicates(docs)
+    assert deduped.columns == docs.columns
+    # null and blank texts are one class, its smallest id stays; the text that is there three times stays once
+    assert sorted((r.doc_id or 0, r.fp) for r in deduped.collect()) == [(1, 7), (4, 7), (5, 7), (6, 7)]
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and clean.where("contains(text, 'deux')").isEmpty() and clean.count() == 6
+    kept = quality_rules.keep_documents(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    masked = secret_scan.redact(docs)
+    assert masked.columns == docs.columns and {r["__key"] for r in masked.collect()} == {"k"}
+    hidden = masked.where("doc_id = 5").first()
+    assert "<SECRET>" in hidden.text and "0123456789abcdef" not in hidden.text and hidden.n_chars == len(hidden.text)
+    empty = spark.createDataFrame([], DOCS)
+    for job in (simhash.drop_near_duplicates, quality_rules.keep_documents, secret_scan.redact, lambda d: decontaminate.drop_contaminated(d, bench)):
+        assert job(empty).count() == 0
+
+
+def test_odd_pages(spark):
+    pages = spark.createDataFrame([(1, None, None, "a"), (None, "http://a b/\n", "<p>x" + "y" * 200, "b"), (2, "u", "<p>x" + "y" * 200, "c"), (2, "u", "<p>x" + "y" * 200, "c"), (3, "HTTP://u@A.B.:80/c", "<p>z</p>" * 30_000, "d")], "page_id long, url string, html string, text string")
+    text = {(r.page_id, r.n_chars) for r in html_extract.extract_main_text(pages).collect()}
+    assert text == {(1, 0), (None, 201), (2, 201), (3, 59_999)}
+    out = scratch_path(spark, "test-warc")
+    manifest = warc.write_archives(pages, out).collect()
+    assert sum(r.records for r in manifest) == 5
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.read_archives(spark, out).collect())
+    assert got == [(0, "revisit", 2, 204), (1, "response", 0, 0), (2, "response", 0, 204), (2, "revisit", 2, 204), (3, "response", 0, 240_000)]
+    none = scratch_path(spark, "test-warc")
+    assert warc.write_archives(pages.limit(0), none).count() == 0
+    captures = pages.select("page_id", "url", F.lit("2024-05-01").cast("date").alias("fetched_on"))
+    entries = spark.createDataFrame([("a.b", "2024-01-01", "add"), ("b", "2024-01-01", "add"), ("b", "2024-04-01", "remove"), ("a.b", None, "remove"), (None, "2024-01-01", "add")], "pattern string, listed_on string, action string").withColumn("listed_on", F.col("listed_on").cast("date"))
+    flags = url_lists.flag_captures(captures, entries)
+    assert sorted((r.page_id or 0, r.blocked, r.entry) for r in flags.collect()) == [(0, False, None), (1, False, None), (2, False, None), (2, False, None), (3, True, "a.b")]
+    assert url_lists.flag_captures(captures, entries.limit(0)).where("blocked").isEmpty()
+    assert url_lists.flag_captures(captures.limit(0), entries).isEmpty()
