@@ -53,22 +53,25 @@ def candidates_for_city(cities: DataFrame, stations: DataFrame, limit: int = 12)
 def candidates_for_text(texts: DataFrame, stations: DataFrame, limit: int = 12, id_col: str = "order_id", text_col: str = "sentence") -> DataFrame:
     """Stations whose normal name holds words of four letters or more of the text; id, ``rank, hits`` and the station.
 
-    A word that stands twice counts twice. A word within a name begins with four letters that are a gram of
-    the name, so pairs come from an equi-join on those. Different words are looked up once.
+    A word that stands twice counts twice. Texts with the same words are ranked once. A word within a name begins with
+    four letters that are a gram of the name, so pairs come from an equi-join on those.
     """
-    words = texts.select(id_col, F.explode(F.split(norm_french(F.col(text_col)), " ")).alias("word")).where(F.length("word") >= LEAST_TOKEN)
-    counted = words.groupBy(id_col, "word").agg(F.count("*").alias("n"))
+    words = F.array_sort(F.filter(F.split(norm_french(F.col(text_col)), " "), lambda w: F.length(w) >= LEAST_TOKEN))
+    asked = texts.select(id_col, words.alias("words")).where(F.size("words") > 0)
+    counted = asked.select("words").distinct().select("words", F.explode("words").alias("word")).groupBy("words", "word").agg(F.count("*").alias("n"))
     spans = F.sequence(F.lit(1), F.length("station_norm") - LEAST_TOKEN + 1)
     grams = F.array_distinct(F.transform(spans, lambda i: F.substring("station_norm", i, F.lit(LEAST_TOKEN))))
     names = stations.select("station_norm").distinct().where(F.length("station_norm") >= LEAST_TOKEN)
     keyed = counted.select("word").distinct().withColumn("gram", F.substring("word", 1, LEAST_TOKEN))
     met = keyed.join(names.select("station_norm", F.explode(grams).alias("gram")), "gram").where(F.contains("station_norm", F.col("word")))
-    hits = counted.join(met.select("word", "station_norm"), "word").groupBy(id_col, "station_norm").agg(F.sum("n").alias("hits"))
+    hits = counted.join(met.select("word", "station_norm"), "word").groupBy("words", "station_norm").agg(F.sum("n").alias("hits"))
     order = [F.desc("hits"), F.length("station_norm").asc(), F.asc("station_norm")]
-    few = _top(hits, [id_col], order, limit).drop("rank")  # as every name has a station, no more names than this are needed
-    full = few.join(stations, "station_norm")
-    best = _top(full, [id_col], [F.desc("hits"), F.length("station_norm").asc(), F.asc("station_name"), F.asc("uic_code")], limit)
-    return best.select(id_col, "rank", "hits", "station_name", "uic_code", "latitude", "longitude")
+    # each name has a station, and those of one name rank alike up to their own names and codes
+    few = _top(hits, ["words"], order, limit).drop("rank")
+    first = _top(stations, ["station_norm"], [F.asc("station_name"), F.asc("uic_code")], limit).drop("rank")
+    best = _top(few.join(first, "station_norm"), ["words"], [F.desc("hits"), F.length("station_norm").asc(), F.asc("station_name"), F.asc("uic_code")], limit)
+    found = best.select("words", "rank", "hits", "station_name", "uic_code", "latitude", "longitude")
+    return asked.join(found, "words").drop("words")
 
 
 def by_code(codes: DataFrame, stations: DataFrame) -> DataFrame:
