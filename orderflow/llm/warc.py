@@ -25,7 +25,7 @@ from orderflow.llm._shared import scratch_path, table, text_slices, written
 SHARD_BYTES = 64 << 20  # of payload
 ROLL_BYTES = 32 << 20  # of compressed file
 LEAST_REVISIT = 100  # bytes; smaller payloads are always written in full
-BINS = 4096
+LEAST_BINS, MOST_BINS = 4096, 1 << 18  # of page_id, counted before shards are cut
 DATE = "1970-01-01T00:00:00Z"
 
 MANIFEST = "name string, temporary string, shard int, records long, bytes long, sha256 string, first_id long, last_id long"
@@ -146,19 +146,21 @@ def _commit(out: str):
 
 def _shard_of(sizes: DataFrame, shard_bytes: int):
     """A column that numbers ranges of page_id with about ``shard_bytes`` of payload, and how many there are."""
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
+    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
     if low is None:
         return F.lit(0), 1
-    width = -(-(high - low + 1) // BINS)
+    n_bins = min(MOST_BINS, max(LEAST_BINS, 4 * -(-total // shard_bytes)))
+    width = -(-(high - low + 1) // n_bins)
     place = F.floor((F.col("page_id").cast("decimal(38,0)") - F.lit(low)) / F.lit(width)).cast("int")
     bins = {r.b: r.s for r in sizes.groupBy(place.alias("b")).agg(F.sum("size").alias("s")).collect()}
     shards, shard, held = [], 0, 0
-    for b in range(BINS):
+    for b in range(n_bins):
         if held >= shard_bytes:
             shard, held = shard + 1, 0
         held += bins.get(b, 0)
-        shards.append(shard)
-    return F.coalesce(F.get(F.array(*map(F.lit, shards)), place), F.lit(0)), shard + 1
+        shards.append(str(shard))
+    # one literal that is split once, not an expression of many literals
+    return F.coalesce(F.get(F.split(F.lit(",".join(shards)), ","), place).cast("int"), F.lit(0)), shard + 1
 
 
 def write_archives(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
