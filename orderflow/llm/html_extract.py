@@ -11,6 +11,7 @@ element or its class does neither vote nor stay.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -22,6 +23,7 @@ from orderflow.llm._shared import table, text_slices
 
 SIGMA = 1.5
 SHARE = 0.8
+NEVER = 1 << 62
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -48,19 +50,22 @@ _PARAGRAPH_ENDS = BLOCKS - {"option", "optgroup", "legend", "caption", "summary"
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "dropped", "in_article", "votes", "text")
+    __slots__ = ("tag", "parent", "dropped", "in_article", "depth", "votes", "first", "inside")
 
     def __init__(self, tag: str, parent: _Element | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.votes, self.text = tag, parent, dropped, 0.0, 0
+        self.tag, self.parent, self.dropped, self.votes, self.first, self.inside = tag, parent, dropped, 0, NEVER, False
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
+        self.depth = parent.depth + 1 if parent else 0
 
 
 class _Blocks(HTMLParser):
-    """Collects ``blocks`` of (text, tags, element)."""
+    """Collects ``blocks`` of (text, tags, element), and ``elements``, outer ones first."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.at = _Element("", None, False)
+        self.elements = [self.at]
+        self.open: Counter[str] = Counter()  # around the place that is read
         self.blocks: list[tuple[str, int, _Element]] = []
         self.pieces: list[str] = []
         self.tags = 0
@@ -85,6 +90,8 @@ class _Blocks(HTMLParser):
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             self._close_implied(tag)
         self.at = _Element(tag, self.at, self.at.dropped or self._is_dropped(tag, attrs))
+        self.elements.append(self.at)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -94,20 +101,26 @@ class _Blocks(HTMLParser):
     def _close_implied(self, tag: str) -> None:
         """Close an open element of this tag, unless a block lies between."""
         e = self.at
-        while e.parent and e.tag != tag and e.tag not in BLOCKS:
+        while self.open[tag] and e.tag != tag and e.tag not in BLOCKS:
             e = e.parent
         if e.tag == tag:
-            self.at = e.parent
+            self._leave(e)
+
+    def _leave(self, element: _Element) -> None:
+        """Close an open element and all within it."""
+        while self.at is not element.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        e = self.at
-        while e.parent and e.tag != tag:
-            e = e.parent
-        if e.parent:
-            self.at = e.parent
+        if self.open[tag]:
+            e = self.at
+            while e.tag != tag:
+                e = e.parent
+            self._leave(e)
 
     def handle_data(self, data):
         self.pieces.append(data)
@@ -159,35 +172,22 @@ def main_text(html: str) -> str:
     if not blocks:
         return ""
     smooth = _smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in blocks]))
-    cut, total, elements = _threshold(smooth), 0.0, {}
-    for (text, _, element), ratio in zip(blocks, smooth, strict=True):
-        vote = len(text) if ratio >= cut else 0
-        total += vote
-        e = element
-        while e:
-            elements[id(e)] = e
-            e.votes += vote
-            e.text += len(text)
-            e = e.parent
-    articles = [e for e in elements.values() if e.tag == "article"] or [e for e in elements.values() if e.tag == "main"]
+    cut = _threshold(smooth)
+    for i, ((text, _, element), ratio) in enumerate(zip(blocks, smooth, strict=True)):
+        element.first = min(element.first, i)
+        element.votes += len(text) if ratio >= cut else 0
+    for e in reversed(parser.elements[1:]):
+        e.parent.first = min(e.parent.first, e.first)
+        e.parent.votes += e.votes
+    around, root = [e for e in parser.elements if e.first < NEVER], parser.elements[0]
+    articles = [e for e in around if e.tag == "article"] or [e for e in around if e.tag == "main"]
     if articles:
-        region = max(articles, key=lambda e: e.votes)  # of equals, the first one met
+        region = max(articles, key=lambda e: (e.votes, -e.first, e.depth))  # of equals the first one met, from inside
     else:
-        region = max((e for e in elements.values() if e.votes >= SHARE * total and e.tag in BLOCKS - {"p"} or not e.parent), key=_depth)
-    return " ".join(text for text, _, element in blocks if _inside(element, region))
-
-
-def _depth(e: _Element) -> int:
-    n = 0
-    while e.parent:
-        n, e = n + 1, e.parent
-    return n
-
-
-def _inside(e: _Element | None, region: _Element) -> bool:
-    while e is not None and e is not region:
-        e = e.parent
-    return e is region
+        region = max((e for e in around if e.votes >= SHARE * root.votes and e.tag in BLOCKS - {"p"} or e is root), key=lambda e: e.depth)
+    for e in parser.elements:
+        e.inside = e is region or e is not root and e.parent.inside
+    return " ".join(text for text, _, element in blocks if element.inside)
 
 
 def _extract(batches):
