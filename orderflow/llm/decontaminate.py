@@ -11,6 +11,7 @@ words of its place is a match by proximity.
 
 from __future__ import annotations
 
+from itertools import repeat
 from math import ceil
 
 import numpy as np
@@ -25,9 +26,11 @@ WINDOW = 10
 GAP = 64  # unused positions between documents; more than a window and its slop
 SHARD_WORDS = 2_000_000
 #: Up to so many bytes of benchmark text are looked up at once and shipped to the tasks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: A benchmark with more different terms than this is indexed against with all terms of the corpus.
-MOST_TERMS = 2_000_000
+MOST_TERMS = 500_000
+#: Windows, and starts of windows, that a task looks at in one step.
+LOOKED_UP, CANDIDATES = 100_000, 1_000_000
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,10 +85,10 @@ def build_index(docs: DataFrame, terms: list[bytes] | None, id_col: str = "doc_i
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                     words = words_of(text or b"")
                     if fixed is None:
-                        ids = [own.setdefault(w, len(own)) for w in words]
+                        ids = (own.setdefault(w, len(own)) for w in words)
                     else:
-                        ids = [fixed.get(w, -1) for w in words]
-                    held.append((doc_id, np.array(ids, np.int32)))
+                        ids = map(fixed.get, words, repeat(-1))
+                    held.append((doc_id, np.fromiter(ids, np.int32, len(words))))
                     size += len(words) + GAP
                     if size >= SHARD_WORDS:
                         yield _shard(f"{task.partitionId()}-{n}", held, terms or list(own))
@@ -97,52 +100,84 @@ def build_index(docs: DataFrame, terms: list[bytes] | None, id_col: str = "doc_i
     return own.mapInArrow(run, INDEX)
 
 
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+
+
 class Windows:
     """The different windows of some items, by length: their terms, and which items have them."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.terms: dict[bytes, int] = {}
-        self.ids = sorted({i for i, _ in items})
-        place, found = {x: n for n, x in enumerate(self.ids)}, {}
+        self.ids = np.unique(np.array([i for i, _ in items], np.int64))
+        found: dict[int, tuple[list, list]] = {}
         for item_id, text in items:
-            words = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
+            words = np.array([self.terms.setdefault(w, len(self.terms)) for w in words_of(text)], np.int32)
             size = min(WINDOW, len(words))
-            for i in range(len(words) - size + 1 if words else 0):
-                found.setdefault(tuple(words[i : i + size]), set()).add(place[item_id])
-        self.by_size = {
-            n: (np.array(own := [w for w in found if len(w) == n]), [sorted(found[w]) for w in own])
-            for n in sorted({len(w) for w in found})
-        }
+            if size:
+                own, owners = found.setdefault(size, ([], []))
+                own.append(np.lib.stride_tricks.sliding_window_view(words, size))
+                owners.append(np.full(len(words) - size + 1, np.searchsorted(self.ids, item_id)))
+        self.by_size = {n: self._different(np.concatenate(own), np.concatenate(owners)) for n, (own, owners) in sorted(found.items())}
+
+    @staticmethod
+    def _different(windows: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different windows, the items of all of them in their order, and where those of each begin."""
+        windows, place = np.unique(windows, axis=0, return_inverse=True)
+        pairs = np.unique(place.ravel() << 32 | owners)
+        return windows, pairs & 0xFFFFFFFF, np.searchsorted(pairs >> 32, np.arange(len(windows) + 1))
 
     def found_in(self, terms: list[str], sizes: list[int], positions: np.ndarray, slop: int):
-        """Yields (window length, items, starts, whether each is exact) for each window that is met."""
-        ends = np.cumsum(sizes)
-        lists = np.split(positions, ends[:-1]) if len(ends) else []
+        """Yields (window length, windows met, their starts, whether each is exact), a bounded number at a time."""
+        sizes = np.array(sizes, np.int64)
+        begins = np.cumsum(sizes) - sizes
+        # the list's number above the position: one sorted array holds all lists
+        keys = np.repeat(np.arange(len(sizes)) << 32, sizes) + positions
         slot, size = np.full(len(self.terms), -1), np.zeros(len(self.terms), np.int64)
         for k, t in enumerate(terms):
             i = self.terms.get(t.encode())
             if i is not None:
                 slot[i], size[i] = k, sizes[k]
-        for length, (windows, owners) in self.by_size.items():
-            rarity = size[windows]
-            for w in np.flatnonzero(rarity.min(axis=1) > 0):
-                order = np.argsort(rarity[w], kind="stable")
-                found = lists[slot[windows[w, order[0]]]] - order[0]
-                starts = np.unique((found[:, None] + np.arange(-slop, slop + 1)).ravel()) if slop else found
-                exact = np.isin(starts, found) if slop else np.ones(len(found), bool)
-                for k in order[1:]:
-                    own, want = lists[slot[windows[w, k]]], starts + k
-                    low = np.searchsorted(own, want - slop)
-                    near = own[np.minimum(low, len(own) - 1)]
-                    fits = (low < len(own)) & (near <= want + slop)
-                    starts, want, exact, near = starts[fits], want[fits], exact[fits], near[fits]
-                    if not len(starts):
-                        break
+        for length, (windows, _, _) in self.by_size.items():
+            for a in range(0, len(windows), LOOKED_UP):
+                met = a + np.flatnonzero(size[windows[a : a + LOOKED_UP]].min(axis=1) > 0)
+                order = np.argsort(size[windows[met]], axis=1, kind="stable")
+                rarest = slot[windows[met, order[:, 0]]] if len(met) else met
+                lots = np.cumsum(sizes[rarest]) // CANDIDATES
+                for lot in np.split(np.arange(len(met)), np.flatnonzero(np.diff(lots)) + 1):
+                    n = sizes[rarest[lot]]
+                    own = np.repeat(lot, n)
+                    starts = positions[_ranges(begins[rarest[lot]], n)] - order[own, 0]
                     if slop:
-                        near = own[np.minimum(np.searchsorted(own, want), len(own) - 1)]
-                    exact = exact & (near == want)
-                if len(starts):
-                    yield length, owners[w], starts, exact
+                        near = starts[:, None] + np.arange(-slop, slop + 1) + (1 << 32)
+                        both = np.unique((own << 34)[:, None] + near)
+                        own, starts = both >> 34, (both & (1 << 34) - 1) - (1 << 32)
+                    exact = np.ones(len(own), bool)
+                    for k in range(0 if slop else 1, length):
+                        if not len(own):
+                            break
+                        place = order[own, k]
+                        want = (slot[windows[met[own], place]] << 32) + starts + place
+                        low = np.searchsorted(keys, want - slop)
+                        fits = (low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] <= want + slop)
+                        if slop:
+                            exact &= keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
+                        own, starts, exact = own[fits], starts[fits], exact[fits]
+                    if len(own):
+                        yield length, met[own], starts, exact
+
+    def items_of(self, length: int, docs: np.ndarray, met: np.ndarray) -> np.ndarray:
+        """Pairs of a document and an item that has one of the windows met there, as ``document << 32 | item``."""
+        _, owners, begins = self.by_size[length]
+        docs, met = np.divmod(np.unique(docs << 32 | met), 1 << 32)
+        n = begins[met + 1] - begins[met]
+        return np.unique(np.repeat(docs, n) << 32 | owners[_ranges(begins[met], n)])
+
+
+def _lists(values: np.ndarray, docs: np.ndarray, n: int) -> pa.Array:
+    """The values of each of ``n`` documents; ``docs`` is sorted."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(docs, np.arange(n + 1)), pa.int32()), pa.array(values, pa.int64()))
 
 
 def _matches(windows: Windows, slop: int):
@@ -150,34 +185,29 @@ def _matches(windows: Windows, slop: int):
         for batch in batches:
             for row in batch.to_pylist():
                 counts = np.array(row["n_words"], np.int64)
-                base = np.cumsum(counts + GAP) - counts - GAP
-                edge, pairs = np.zeros(int(base[-1] + counts[-1]) + GAP + 1, np.int64), ([], [])
+                base, n = np.cumsum(counts + GAP) - counts - GAP, len(counts)
+                edge, pairs = np.zeros(int(base[-1] + counts[-1]) + GAP + 1, np.int64), ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
                 positions = np.frombuffer(row["positions"], "<i4").astype(np.int64)
-                for length, owners, starts, exact in windows.found_in(row["terms"], row["sizes"], positions, slop):
+                for length, met, starts, exact in windows.found_in(row["terms"], row["sizes"], positions, slop):
                     np.add.at(edge, starts[exact], 1)
                     np.add.at(edge, starts[exact] + length, -1)
                     at = np.maximum(np.searchsorted(base, starts + slop, "right") - 1, 0)
-                    for kind, docs in zip(pairs, (np.unique(at[exact]), np.unique(at[~exact])), strict=True):
-                        kind += [(d, i) for d in docs.tolist() for i in owners]
-                held = [{}, {}]
-                for kind, own in zip(pairs, held, strict=True):
-                    for d, i in sorted(set(kind)):
-                        own.setdefault(d, []).append(windows.ids[i])
+                    for kind, which in zip(pairs, (exact, ~exact), strict=True):
+                        kind.append(windows.items_of(length, at[which], met[which]))
+                held = np.unique(np.concatenate(pairs[0]))
+                near = np.setdiff1d(np.concatenate(pairs[1]), held)
                 step = np.diff(np.concatenate(([0], np.cumsum(edge) > 0, [0])).astype(np.int8))
                 begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
                 at = np.searchsorted(base, begins, "right") - 1
-                first, last = np.searchsorted(at, np.arange(len(base))), np.searchsorted(at, np.arange(len(base)), "right")
-                n, long = len(base), pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["shard"]] * n),
                         pa.array(range(n), pa.int64()),
                         pa.array(row["doc_ids"], pa.int64()),
                         pa.array(counts),
-                        pa.array([begins[a:b] - base[d] for d, (a, b) in enumerate(zip(first, last, strict=True))], long),
-                        pa.array([ends[a:b] - base[d] for d, (a, b) in enumerate(zip(first, last, strict=True))], long),
-                        pa.array([held[0].get(d, []) for d in range(n)], long),
-                        pa.array([[i for i in held[1].get(d, []) if i not in set(held[0].get(d, []))] for d in range(n)], long),
+                        _lists(begins - base[at], at, n),
+                        _lists(ends - base[at], at, n),
+                        *(_lists(windows.ids[x & 0xFFFFFFFF], x >> 32, n) for x in (held, near)),
                     ],
                     [x.split()[0] for x in MATCHES.split(", ")],
                 )
