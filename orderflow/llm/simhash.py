@@ -21,7 +21,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -164,15 +164,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = near_duplicate_classes(docs, id_col, text_col).where(
         F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
     )
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    kept = kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count("*").alias("times"))
+    kept = written(kept, "kept")
     own = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(id_col).cast("long").alias("own_id"),
         F.xxhash64(F.col(text_col)).alias("own_hash"),
     )
     same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash"))
-    once = Window.partitionBy("own_id", "own_hash").orderBy(F.lit(0))
-    return own.join(kept, same, "left_semi").withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
+    single = own.join(kept.where("times = 1"), same, "left_semi").select("row")
+    # repeats of one row meet before they are shuffled, however many there are; other texts are not moved for them
+    repeated = own.join(kept.where("times > 1"), same, "left_semi").groupBy("own_id", "own_hash").agg(F.first("row").alias("row"))
+    return single.unionByName(repeated.select("row")).select("row.*")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
