@@ -156,12 +156,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class of near-duplicates; columns as they were.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=near_duplicate_classes) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates, as ``classes`` finds them; columns as they were.
 
     The row with the smallest id stays (rows without an id last); of repeats of that very row, one.
     """
-    kept = near_duplicate_classes(docs, id_col, text_col).where(
+    kept = classes(docs, id_col, text_col).where(
         F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
     )
     kept = kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count("*").alias("times"))
