@@ -27,6 +27,14 @@ KINDS = {
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, ("eyj",)),
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, ("private key",)),
 }
+#: A private key in whole, with its body and what ends it as the value: through the END line, without one to the end of its
+#: base64 lines, and a bare header has no value. SQL knows the header only, as its expressions cannot look ahead.
+PEM = (
+    KINDS["pem"][0] + r"(?:\s|\\[nr])*+([^-]*+(?:-(?!----)[^-]*+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[A-Za-z][A-Za-z-]*:\x20[^\r\n]*+\s++){0,8}(?:[\x20\t>*#\"']*+[A-Za-z0-9+/=]{16,}+[\"',;+]*+(?:\s|\\[nr])*+){1,400}+(?:[A-Za-z0-9+/]++={0,2}(?![^\r\n\\]))?|)"
+)
+#: What does not tell two private keys apart: the END line, blanks and escaped line ends.
+_PEM_FRAME = r"-----END[\x00-\x7F]*$|\\[nr]|\s+"
 BASE = ("assign", "access", "hex")
 #: Owners from which on a value counts as widely copied.
 COMMON_OWNERS = 3
@@ -55,6 +63,8 @@ def _before(sizes: Column) -> Column:
 def _spans_of(text: Column, kind: str) -> Column:
     """All matches of a kind, leftmost and not overlapping; those with a short value are dropped after matching."""
     pattern, group, least, _ = KINDS[kind]
+    if kind == "pem":
+        pattern, group = PEM, 1
     found, values = F.regexp_extract_all(text, F.lit(pattern), 0), F.regexp_extract_all(text, F.lit(pattern), group)
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     sizes = F.transform(found, lambda x: F.length(x))
@@ -67,7 +77,7 @@ def _spans_of(text: Column, kind: str) -> Column:
             (r["at"] + r["gap"] + F.length(r["m"])).alias("end"),
             # the value ends the match in every kind
             (r["at"] + r["gap"] + F.length(r["m"]) - F.length(r["v"])).alias("value_start"),
-            r["v"].alias("value"),
+            (F.regexp_replace(r["v"], _PEM_FRAME, "") if kind == "pem" else r["v"]).alias("value"),
         ),
     )
     return F.filter(F.slice(rows, F.lit(1), F.size(sizes)), lambda r: F.length(r["value"]) >= least).cast(_SPAN)
@@ -84,7 +94,13 @@ def spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _looks_live(value: Column) -> Column:
+def _looks_live(value: Column, kind: Column) -> Column:
+    """Whether a value looks random; a private key does by its form, unless it says that it is none."""
+    key = (F.length(value) >= 16) & ~F.lower(value).rlike("example|placeholder|changeme|x{8}")
+    return F.when(kind == list(KINDS).index("pem"), key).otherwise(_looks_random(value))
+
+
+def _looks_random(value: Column) -> Column:
     return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~F.lower(value).rlike("example|sample|dummy|placeholder|changeme|xxxx")
 
 
@@ -103,7 +119,7 @@ def judged(found: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
     uses = found.select("rid", "owner", "repo", F.explode("spans").alias("span")).withColumn("value_hash", F.sha2("span.value", 256))
     common = F.col("n_owners") >= common_owners
     return uses.join(ownership(uses), "value_hash").select(
-        "rid", "span", "n_owners", common.alias("common"), (~common & _looks_live(F.col("span.value"))).alias("live")
+        "rid", "span", "n_owners", common.alias("common"), (~common & _looks_live(F.col("span.value"), F.col("span.kind"))).alias("live")
     )
 
 
@@ -147,7 +163,7 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", c
     )
     marks = judged(found, common_owners).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("span.value_start", "span.end", "common"))).alias("marks"))
     text = F.col(f"row.`{text_col}`")
-    step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
+    step = lambda a, s: F.when((s["end"] <= a["at"]) | (s["value_start"] == s["end"]), a).otherwise(
         F.struct(
             s["end"].alias("at"),
             F.concat(
@@ -177,7 +193,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_oracle() -> str:
-    """The same rows in DuckDB SQL."""
+    """The same rows in DuckDB SQL, but for private keys, of which it knows the header only."""
     parts = []
     for i, (kind, (pattern, group, least, _)) in enumerate(KINDS.items()):
         p = pattern.replace("'", "''")
