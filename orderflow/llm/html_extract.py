@@ -1,17 +1,21 @@
 """Main text of web pages: parser events, text-to-tag ratios, smoothing, clustering.
 
-The standard library's parser turns a page into blocks, each with its text, the number of tags met, and the elements it
-stands in. The ratio of text to tags of each block is smoothed with a Gaussian window, and two clusters
-of the smoothed ratios are parted by a threshold. Blocks above it vote, with their text, for the elements around
-them; the elected element is the content region, and all of its blocks are kept, short ones too. Ratios
-alone would lose short paragraphs and keep long adverts, so what stands in menus, adverts and the like by its
-element or its class does neither vote nor stay.
+The standard library's parser turns a page into lines: what stands between two block tags, with the number of tags met on
+the way there and the element it stands in. The logarithm of each line's letters a tag is smoothed along the page with a
+Gaussian window, and two clusters of the smoothed ratios are parted by a threshold. Lines above it speak with their length for
+the elements around them, lines below it against them: the innermost element with nearly the best balance is the
+content region. Of its lines those above the threshold stay; of the others paragraphs, headings, list items and cells, unless
+they are links and nothing else.
+
+Names of elements and classes help: what calls itself a menu, an advert and so on counts as a line without letters, and
+does not stay; an element that calls itself an article is the region if its balance is half of the best, and stays whole else.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,9 +25,10 @@ from pyspark.sql import functions as F
 
 from orderflow.llm._shared import table, text_slices
 
-SIGMA = 1.5
-SHARE = 0.8
 NEVER = 1 << 62
+SIGMA = 1.0  # lines
+SHARE = 0.9  # of the best balance; the innermost element that has it is the region
+NEARLY = 0.5  # of the best balance, for an element that calls itself an article
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -31,10 +36,12 @@ BLOCKS = frozenset(
     " frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre"
     " search section select summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
-DROPPED = frozenset(
-    "aside audio button canvas datalist dialog embed fieldset footer form frameset head iframe input map menu nav"
-    " noscript object script search select style svg template textarea title video".split()
+#: Elements whose content is not shown as text, or is a form's.
+UNSHOWN = frozenset(
+    "audio button canvas datalist embed fieldset form frameset head iframe input map noscript object script select style svg template"
+    " textarea title video".split()
 )
+DROPPED = frozenset("aside dialog footer menu nav search".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of a class or id that mark what is no content.
 MARKS = frozenset(
@@ -47,35 +54,53 @@ MARKS = frozenset(
 CONTENT = frozenset("article body content main post story text".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PARAGRAPH_ENDS = BLOCKS - {"option", "optgroup", "legend", "caption", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "title"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold running text.
+TEXTUAL = HEADINGS | frozenset("blockquote caption dd dt figcaption li p pre summary td th".split())
+#: Elements that may be the region.
+REGIONS = BLOCKS - TEXTUAL | {"td"}
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "dropped", "in_article", "depth", "votes", "first", "inside")
+    __slots__ = ("tag", "parent", "unshown", "named", "in_article", "depth", "links", "balance", "first", "inside")
 
-    def __init__(self, tag: str, parent: _Element | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.votes, self.first, self.inside = tag, parent, dropped, 0, NEVER, False
+    def __init__(self, tag: str, parent: _Element | None, unshown: bool, named: bool):
+        self.tag, self.parent, self.unshown, self.named = tag, parent, unshown, named
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
         self.depth = parent.depth + 1 if parent else 0
+        self.links = tag == "a" or bool(parent and parent.links)
+        self.balance, self.first, self.inside = 0, NEVER, False
 
 
-class _Blocks(HTMLParser):
-    """Collects ``blocks`` of (text, tags, element), and ``elements``, outer ones first."""
+@dataclass
+class Line:
+    """What stands between two block tags: its text, the tags met on the way there, its element, and how much of it is links."""
+
+    text: str
+    tags: int
+    element: _Element
+    linked: int
+
+
+class _Lines(HTMLParser):
+    """Collects ``lines`` of text that is shown, and ``elements``, outer ones first."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.at = _Element("", None, False)
+        self.at = _Element("", None, False, False)
         self.elements = [self.at]
         self.open: Counter[str] = Counter()  # around the place that is read
-        self.blocks: list[tuple[str, int, _Element]] = []
+        self.lines: list[Line] = []
         self.pieces: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         self.pieces = []
         if text:
-            self.blocks.append((text, self.tags, self.at))
+            self.lines.append(Line(text, self.tags, self.at, self.linked))
             self.tags = 0
+        self.linked = 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -89,7 +114,7 @@ class _Blocks(HTMLParser):
             self._close_implied("p")
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             self._close_implied(tag)
-        self.at = _Element(tag, self.at, self.at.dropped or self._is_dropped(tag, attrs))
+        self.at = _Element(tag, self.at, self.at.unshown or tag in UNSHOWN, self.at.named or self._is_named(tag, attrs))
         self.elements.append(self.at)
         self.open[tag] += 1
 
@@ -123,9 +148,45 @@ class _Blocks(HTMLParser):
             self._leave(e)
 
     def handle_data(self, data):
+        if self.at.unshown:
+            return
         self.pieces.append(data)
-
-    def _is_dropped(self, tag: str, attrs) -> bool:
+        if self.at.links:
+            self.linked += len(data.strip())
+
+    def parse_html_declaration(self, i):
+        """Whatever begins with ``<!`` and is no comment ends at the next ``>``, or with the page; as in browsers."""
+        end = self.rawdata.find(">", i)
+        return len(self.rawdata) if end < 0 else end + 1
+
+    parse_pi = parse_bogus_comment = parse_html_declaration
+
+    def parse_comment(self, i, report=1):
+        """A comment that does not end takes the rest of the page; ``<!-->`` is a whole one."""
+        if self.rawdata.startswith((">", "->"), i + 4):
+            return self.rawdata.index(">", i) + 1
+        ends = [k for k in (self.rawdata.find(e, i + 4) for e in ("-->", "--!>")) if k >= 0]
+        return self.rawdata.index(">", min(ends)) + 1 if ends else len(self.rawdata)
+
+    def parse_endtag(self, i):
+        """One that the page cuts off is no text, and one without a name is a comment."""
+        data, end = self.rawdata, self.rawdata.find(">", i)
+        if end < 0 and len(data) > i + 2:
+            return len(data)
+        named = data[i + 2 : i + 3].isalpha() or self.cdata_elem
+        return super().parse_endtag(i) if named or end < 0 else end + 1
+
+    def close(self):
+        """A tag that is cut off by the end of the page is no text; one with a quote that never ends, up to its ``>``."""
+        while re.match("</?[A-Za-z]", self.rawdata):
+            rest = self.rawdata.partition(">")[2]
+            self.rawdata = ""
+            self.feed(rest)
+        super().close()
+        self.flush()
+
+    def _is_named(self, tag: str, attrs) -> bool:
+        """Whether an element calls itself something that is no content."""
         if tag in DROPPED or tag == "header" and not self.at.in_article:
             return True
         if tag in ("html", "body", "main", "article"):
@@ -140,6 +201,18 @@ class _Blocks(HTMLParser):
         return False
 
 
+def _block(e: _Element) -> _Element:
+    """The innermost block around a place."""
+    while e.tag not in BLOCKS and e.parent is not None:
+        e = e.parent
+    return e
+
+
+def _ratios(lines: list[Line]) -> np.ndarray:
+    """Logarithm of letters a tag, of each line; what is named as no content counts as if it had no letters."""
+    return np.log1p([0 if x.element.named else len(x.text) / max(1, x.tags) for x in lines])
+
+
 def _smoothed(ratios: np.ndarray) -> np.ndarray:
     reach = int(3 * SIGMA)
     window = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
@@ -162,32 +235,52 @@ def _threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _region(parser: _Lines, content: np.ndarray) -> _Element:
+    """The innermost element, and of these the first, whose lines of content outweigh its other lines about as much as they do anywhere.
+
+    An ``article``, or else a ``main``, is preferred if it has at least half of that balance.
+    """
+    for i, (line, good) in enumerate(zip(parser.lines, content, strict=True)):
+        e, n = line.element, len(line.text)
+        e.first, e.balance = min(e.first, i), e.balance + (n if good else -n)
+    for e in reversed(parser.elements[1:]):
+        e.parent.first = min(e.parent.first, e.first)
+        e.parent.balance += e.balance
+    root = parser.elements[0]
+    able = [e for e in parser.elements if e is root or e.first < NEVER and not e.named and e.tag in REGIONS]
+    most = max(e.balance for e in able)
+    for tag in ("article", "main"):
+        named = [e for e in able if e.tag == tag and e.balance >= NEARLY * max(most, 1)]
+        if named:
+            return max(named, key=lambda e: (e.balance, -e.first))
+    return max((e for e in able if e.balance >= SHARE * most or e is root), key=lambda e: e.depth)
+
+
 def main_text(html: str) -> str:
-    """The article of a page, its blocks joined by one blank; empty if there is none."""
-    parser = _Blocks()
+    """The article of a page, its lines joined by one blank; empty if there is none."""
+    parser = _Lines()
     parser.feed(html)
     parser.close()
-    parser.flush()
-    blocks = [b for b in parser.blocks if not b[2].dropped]
-    if not blocks:
+    lines = parser.lines
+    if not lines:
         return ""
-    smooth = _smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in blocks]))
+    ratios = _ratios(lines)
+    smooth = _smoothed(ratios)
     cut = _threshold(smooth)
-    for i, ((text, _, element), ratio) in enumerate(zip(blocks, smooth, strict=True)):
-        element.first = min(element.first, i)
-        element.votes += len(text) if ratio >= cut else 0
-    for e in reversed(parser.elements[1:]):
-        e.parent.first = min(e.parent.first, e.first)
-        e.parent.votes += e.votes
-    around, root = [e for e in parser.elements if e.first < NEVER], parser.elements[0]
-    articles = [e for e in around if e.tag == "article"] or [e for e in around if e.tag == "main"]
-    if articles:
-        region = max(articles, key=lambda e: (e.votes, -e.first, e.depth))  # of equals the first one met, from inside
-    else:
-        region = max((e for e in around if e.votes >= SHARE * root.votes and e.tag in BLOCKS - {"p"} or e is root), key=lambda e: e.depth)
+    textual = np.array([_block(x.element).tag in TEXTUAL for x in lines])
+    content = (smooth >= cut) & (textual | (ratios >= cut)) & np.array([not x.element.named for x in lines])
+    region = _region(parser, content)
     for e in parser.elements:
-        e.inside = e is region or e is not root and e.parent.inside
-    return " ".join(text for text, _, element in blocks if element.inside)
+        e.inside = e is region or e.parent is not None and e.parent.inside
+    whole = region.tag in ("article", "main")
+    kept = (x.text for x, good in zip(lines, content, strict=True) if x.element.inside and not x.element.named and (whole or good or _stays(x)))
+    return " ".join(kept)
+
+
+def _stays(line: Line) -> bool:
+    """Whether a line below the threshold is kept within the region."""
+    tag = _block(line.element).tag
+    return tag in HEADINGS or tag in TEXTUAL and 5 * line.linked < 4 * len(line.text)
 
 
 def _extract(batches):

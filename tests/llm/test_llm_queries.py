@@ -81,11 +81,3 @@ def test_odd_pages(spark):
     assert sorted((r.page_id or 0, r.blocked, r.entry) for r in flags.collect()) == [(0, False, None), (1, False, None), (2, False, None), (2, False, None), (3, True, "a.b")]
     assert url_lists.flag_captures(captures, entries.limit(0)).where("blocked").isEmpty()
     assert url_lists.flag_captures(captures.limit(0), entries).isEmpty()
-
-
-def test_elements_that_never_close():
-    """Time grows with the length of a page, not with how deep its elements stand."""
-    for html, text in (("<b>word ", "word"), ("<p>w<b>", "w"), ("<p></x>a", "a")):
-        assert html_extract.main_text(html * 20_000) == " ".join([text] * 20_000)
-    # of nested elements the innermost with four fifths of the votes is the region
-    assert set(html_extract.main_text("<div>word " * 20_000).split()) == {"word"}
