@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import xxhash
-from helpers_llm import FOLDER, low, words
+from helpers_llm import FOLDER, low, near_copies_of, slow_components, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -31,20 +31,6 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def slow_components(links, nodes):
-    root = {n: n for n in nodes}
-
-    def find(n):
-        while root[n] != n:
-            n = root[n]
-        return n
-
-    for a, b in links:
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    return {n: find(n) for n in nodes}
-
-
 def test_simhash_query(spark):
     docs = documents()
     prints = {i: slow_fingerprint(r["text"]) for i, r in docs.items()}
@@ -228,9 +214,7 @@ def test_pipeline(spark):
         m = dict(zip(quality_rules.MEASURES, quality_rules.measured(r["text"]), strict=True))
         if not any(eval(rule.replace(" OR ", " or "), {}, m) for rule in quality_rules.RULES.values()):  # noqa: S307
             kept[i] = r["text"]
-    prints = {i: slow_fingerprint(t) for i, t in kept.items()}
-    links = [(a, b) for a, b in combinations(kept, 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
-    first = {i: kept[i] for i, root in slow_components(links, kept).items() if i == root}
+    first = {i: kept[i] for i, root in near_copies_of(kept).items() if i == root}
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     passages = set()
     for r in pq.read_table(f"{FOLDER}/benchmark.parquet").to_pylist():

@@ -1,27 +1,13 @@
 """Near copies by shingles, against all pairs."""
 
-from itertools import combinations
-
 import numpy as np
 import pytest
-from helpers_llm import FOLDER
-from test_against_brute_force import slow_components
+from helpers_llm import FOLDER, near_copies_of as wanted_of
 
 import corpus_pipeline
 from orderflow.llm import near_copies, simhash
 
 
-def shingles(text):
-    w = (text or "").encode().lower().split()
-    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-
-
-def wanted_of(texts):
-    sets = {i: shingles(t) for i, t in texts.items()}
-    near = [(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    return slow_components(near, sets)
-
-
 def test_edited_copies_go(spark):
     """Groups of edited copies, a chain whose ends differ, short texts and texts without words."""
     rng = np.random.default_rng(5)
@@ -54,3 +40,22 @@ def test_pipeline_stage_drops_edited_copies(spark):
 def test_few_rows(spark, n):
     docs = spark.createDataFrame([(None, None)] * n, "doc_id long, text string")
     assert simhash.drop_near_duplicates(docs, classes=near_copies.near_copy_classes).count() == n
+
+
+@pytest.mark.parametrize("few", [0, 8])
+def test_groups_whose_copies_are_not_alike(spark, monkeypatch, few):
+    """A text with many edited copies, most near it, most not near each other, and some near a copy only."""
+    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "LOT", 7)
+    rng, texts = np.random.default_rng(9), {}
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    edit = lambda words, n: [f"e{rng.integers(0, 10**9)}" if k in set(rng.choice(len(words), n, False)) else w for k, w in enumerate(words)]
+    for k in range(120):
+        texts[k] = edit(base, int(rng.integers(0, 6)))
+    for k in range(120, 150):
+        texts[k] = edit(texts[int(rng.integers(0, 120))], int(rng.integers(1, 4)))[: int(rng.integers(130, 150))]
+    docs = {k: " ".join(w) for k, w in texts.items()}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    wanted = wanted_of(docs)
+    assert len(set(wanted.values())) > 10
+    assert {r.doc_id: r.keep_id for r in near_copies.near_copy_classes(rows).collect()} == wanted
