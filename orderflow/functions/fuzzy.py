@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 
 
@@ -72,21 +73,63 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
 
 
-def best_matches(names: list[tuple[int, str, str]]):
-    """A function for ``mapInPandas``: each ``slot`` with its best of ``names`` (order, normal form, name)."""
-    ordered = sorted(names)
-
-    def best(slot: str) -> tuple[float, int, str, str]:
-        found = (0.0, -1, "", "")
-        for order, norm, name in ordered:
+class Names:
+    """Names in their order with what bounds their scores: how often each has each letter, and which have which words."""
+
+    def __init__(self, names: list[tuple[int, str, str]]):
+        self.names = sorted(names)
+        self.column = {c: k for k, c in enumerate(sorted(set("".join(n for _, n, _ in self.names))))}
+        self.letters = np.zeros((len(self.names), len(self.column)), np.int16)
+        self.sizes = np.array([len(n) for _, n, _ in self.names], np.int32)
+        self.repeats = np.zeros(len(self.names), bool)
+        self.with_word: dict[str, list[int]] = {}
+        for i, (_, norm, _) in enumerate(self.names):
+            np.add.at(self.letters[i], [self.column[c] for c in norm], 1)
+            words = norm.split()
+            self.repeats[i] = len(set(words)) < len(words)
+            for w in set(words):
+                self.with_word.setdefault(w, []).append(i)
+
+    def bounds(self, slot: str) -> np.ndarray:
+        """For each name a score that ``weighted_ratio`` cannot exceed: a common subsequence has common letters only.
+
+        A common word, or a word that a string repeats, may lift the score to 100.
+        """
+        own, words = np.zeros(len(self.column), np.int16), slot.split()
+        np.add.at(own, [self.column[c] for c in slot if c in self.column], 1)
+        common = np.minimum(self.letters, own).sum(axis=1)
+        short, long = np.minimum(self.sizes, len(slot)), np.maximum(self.sizes, len(slot))
+        gap = long / np.maximum(short, 1)
+        out = 200 * common / np.maximum(self.sizes + len(slot), 1)
+        part = np.where(gap <= 8, 0.9, 0.6) * 200 * common / np.maximum(short + common, 1)
+        out = np.where(gap < 1.5, out, np.maximum(out, part))
+        if len(set(words)) < len(words):
+            out[:] = 100
+        for w in set(words):
+            out[self.with_word.get(w, [])] = 100
+        out[self.repeats] = 100
+        return out + 1e-9
+
+    def best(self, slot: str, least: float = 0.0) -> tuple[float, int, str, str]:
+        """The name of the highest score that is at least ``least``, the first of equals; score 0 and blanks if there is none."""
+        found, bounds = (0.0, -1, "", ""), self.bounds(slot)
+        for i in np.argsort(-bounds, kind="stable"):
+            if bounds[i] < max(found[0], least):
+                break
+            order, norm, name = self.names[i]
             score = weighted_ratio(slot, norm)
-            if score > found[0]:
+            if score >= least and score > 0 and (score, -order) > (found[0], -found[1]):
                 found = (score, order, norm, name)
         return found
 
+
+def best_matches(names: list[tuple[int, str, str]], least: float = 0.0):
+    """A function for ``mapInPandas``: each ``slot`` with its best of ``names`` (order, normal form, name)."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Names(names)
         for frame in frames:
-            rows = [best(s) for s in frame["slot"]]
+            rows = [known.best(s, least) for s in frame["slot"]]
             yield pd.DataFrame(rows, columns=["score", "name_order", "city_norm", "city"]).assign(slot=frame["slot"].to_numpy())
 
     return run

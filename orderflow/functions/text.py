@@ -17,8 +17,9 @@ def _base(letter: str) -> str:
 #: Accented letters whose base is one letter, and the bases.
 _ACCENTED = "".join(c for c in _LETTERS if _base(c) != c and len(_base(c)) == 1)
 _BASES = "".join(_base(c) for c in _ACCENTED)
-#: Lower-case letters and signs without a canonical base, in ASCII.
-_ASCII = {"œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "đ": "d", "ł": "l", "ı": "i", "þ": "th", "ð": "d", "’": "'", "‘": "'", "–": "-", "—": "-", "°": "deg", "€": "eur"}
+#: Lower-case letters and signs without a canonical base, in ASCII: those of one letter, and the others.
+_SIGNS, _PLAIN = "øđłıð’‘–—", "odlid''--"
+_LONGER = {"œ": "oe", "æ": "ae", "ß": "ss", "þ": "th", "°": "deg", "€": "eur"}
 
 # Fixed values.
 POLITE = r"aujourd|demain|ce\s+soir|svp|s'il\s+te\s+plait|s'il\s+vous\s+plait|merci"
@@ -31,19 +32,31 @@ def strip_accents(s: Column) -> Column:
     return F.regexp_replace(F.translate(s, _ACCENTED, _BASES), r"\p{Mn}", "")
 
 
+def stripped(s: Column) -> Column:
+    """A text without the blanks of any kind at its ends."""
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+
+
 def _squeezed(s: Column) -> Column:
     return F.btrim(F.regexp_replace(s, r"\s+", " "))
 
 
+def _in_ascii(low: Column) -> Column:
+    """Lower-case Latin letters in ASCII."""
+    out = F.regexp_replace(F.translate(low, _ACCENTED + _SIGNS, _BASES + _PLAIN), r"\p{Mn}", "")
+    for sign, plain in _LONGER.items():
+        out = F.replace(out, F.lit(sign), F.lit(plain))
+    return out
+
+
 def norm_ascii(s: Column) -> Column:
     """Lower-case ASCII letters, digits, hyphens and apostrophes, single blanks.
 
     Latin letters are transliterated; other scripts become blanks.
     """
-    low = strip_accents(F.lower(s))
-    for sign, plain in _ASCII.items():
-        low = F.replace(low, F.lit(sign), F.lit(plain))
-    return _squeezed(F.regexp_replace(low, r"[^a-z0-9\s\-']", " "))
+    low = F.lower(s)
+    low = F.when(low.rlike(r"[^\x00-\x7F]"), _in_ascii(low)).otherwise(low)
+    return F.btrim(F.regexp_replace(low, r"[^a-z0-9\-']+", " "))
 
 
 def norm_french(s: Column) -> Column:
@@ -78,12 +91,25 @@ def coordinates(pair: Column) -> Column:
 
 def name_variants(name: Column) -> Column:
     """A name as written, with straight apostrophes, with blanks for hyphens, and with hyphens for blanks."""
-    trimmed = F.btrim(name)
+    trimmed = stripped(name)
     straight = F.replace(trimmed, F.lit("’"), F.lit("'"))
-    forms = F.array(trimmed, straight, _squeezed(F.replace(straight, F.lit("-"), F.lit(" "))), F.regexp_replace(straight, r"\s+", "-"))
+    blanks = r"(?U)\s+"
+    spaced = stripped(F.regexp_replace(F.replace(straight, F.lit("-"), F.lit(" ")), blanks, " "))
+    forms = F.array(trimmed, straight, spaced, F.regexp_replace(straight, blanks, "-"))
     return F.filter(F.array_distinct(forms), lambda x: x != "")
 
 
+_BLOCK = 256
+
+
+def running_total(numbers: Column) -> Column:
+    """For each number of an array the sum up to it. Sums of blocks first, so that time grows little more than the array."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / _BLOCK).cast("int")), lambda b: total(F.slice(numbers, b * _BLOCK + 1, F.lit(_BLOCK))))
+    before = F.transform(blocks, lambda x, b: total(F.slice(blocks, F.lit(1), b)))
+    return F.transform(numbers, lambda x, i: F.get(before, F.floor(i / _BLOCK).cast("int")) + total(F.slice(numbers, i - i % _BLOCK + 1, i % _BLOCK + 1)))
+
+
 def uniform(key: Column, salt: str, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the key, the salt and the seed only, not on partitions or order."""
     return F.pmod(F.xxhash64(key, F.lit(salt), F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
@@ -132,7 +158,7 @@ def controlled_typo(name: Column, key: Column, seed: int = 0) -> Column:
 def _title(s: Column) -> Column:
     """Each run of letters with a capital first."""
     words = F.regexp_extract_all(s, F.lit(r"\p{L}+|\P{L}+"), 0)
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))), "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
 
 
 def with_noise(rows: DataFrame, col: str, key: Column, seed: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderflow.functions import geo, text
-from orderflow.jobs.schedule import answer_orders
+from orderflow.jobs.schedule import ANSWERS, answer_orders
 from orderflow.jobs.views import view, with_views
 from orderflow.operators import confidence, evaluate, extract, gazetteer, generate, itinerary, stations, timetable
 from orderflow.sources import tables
@@ -81,7 +81,7 @@ def strip_accents(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "documents").select("doc_id", F.md5(text.strip_accents(F.col("text"))).alias("plain"))
 
 
-_SAID = "concat(' ', split_part(text, chr(10), 1), CASE turn % 4 WHEN 0 THEN ' ; Merci bien' WHEN 1 THEN ', s''il  te plait !' WHEN 2 THEN ' ?!' ELSE ' demain' END)"
+_SAID = "concat(' ', text, CASE turn % 4 WHEN 0 THEN ' ; Merci bien' WHEN 1 THEN ', s''il  te plait !' WHEN 2 THEN ' ?!' ELSE ' demain' END)"
 
 
 @_query(rf"SELECT conv_id, turn, trim(trim(regexp_replace({_SAID}, '(?is)\b(?:{text.POLITE.replace(chr(39), chr(39) * 2)})\b.*', ''), '{text.ENDS}')) AS slot FROM conversations")
@@ -181,7 +181,8 @@ _SLOT = lambda g: "CASE " + " ".join(f"WHEN regexp_matches(sentence, '{c[0]}') T
 _SLOTS_SQL = f"cut AS (SELECT order_id, sentence, {_SLOT(1)} AS dep_slot, {_SLOT(2)} AS dest_slot FROM {{orders_text}})"
 _PARSED_SQL = f"""{_SLOTS_SQL},
     slot AS (SELECT dep_slot AS slot FROM cut WHERE dep_slot IS NOT NULL UNION SELECT dest_slot FROM cut WHERE dest_slot IS NOT NULL),
-    held AS (SELECT slot, count(*) AS n, min(city) AS city FROM slot JOIN {{cities}} ON contains(slot, city) GROUP BY slot),
+    contained AS (SELECT slot, count(*) AS n, min(city) AS city FROM slot JOIN {{cities}} ON contains(slot, city) GROUP BY slot),
+    held AS (SELECT * FROM contained UNION ALL SELECT slot, 1, city FROM slot JOIN {{cities}} ON replace(slot, 'bourgg', 'bourg') = city AND slot <> city),
     both_ AS (SELECT order_id, sentence, a.city AS x, b.city AS y FROM cut LEFT JOIN held a ON a.slot = dep_slot AND a.n = 1 LEFT JOIN held b ON b.slot = dest_slot AND b.n = 1),
     parsed AS (SELECT order_id, sentence, CASE WHEN x <> y THEN x END AS departure, CASE WHEN x <> y THEN y END AS destination, CASE WHEN x <> y THEN 'OK' ELSE 'INVALID' END AS status FROM both_)"""
 
@@ -411,29 +412,38 @@ def transfer_journeys(spark: SparkSession, d: str) -> DataFrame:
     return timetable.named(found, known, {"trip1": "route1", "trip2": "route2"}, {"transfer_stop": "transfer_name"})
 
 
-_ANSWERS_SQL = """answers AS (SELECT query_id, 'direct' AS kind, trip_id AS trip1, departure AS dep1, arrival AS arr1, NULL AS transfer_stop, NULL AS trip2, NULL AS dep2, NULL AS arr2 FROM direct WHERE rank = 1
-      UNION ALL SELECT query_id, 'transfer', trip1, dep1, arr1, transfer_stop, trip2, dep2, arr2 FROM transfer WHERE rank = 1 AND query_id NOT IN (SELECT query_id FROM direct))"""
+_ANSWERS_SQL = """answers AS (SELECT query_id, 'direct' AS kind, trip_id AS trip1, departure AS dep1, arrival AS arr1, NULL AS transfer_stop, NULL AS trip2, NULL AS dep2, NULL AS arr2, from_stop, to_stop FROM direct WHERE rank = 1
+      UNION ALL SELECT query_id, 'transfer', trip1, dep1, arr1, transfer_stop, trip2, dep2, arr2, from_stop, to_stop FROM transfer WHERE rank = 1 AND query_id NOT IN (SELECT query_id FROM direct))"""
+# a city's stops: those with the code of its hub; if no stop has it, or there is no hub, those whose name holds the city's
+_PLACES_SQL = """asked_c AS (SELECT departure AS city FROM pairs UNION SELECT destination FROM pairs),
+    by_code AS (SELECT DISTINCT city, stop_id FROM asked_c JOIN hubs USING (city) JOIN stops__v ON stop_code = hub_uic),
+    by_name AS (SELECT DISTINCT city, stop_id FROM asked_c JOIN stops__v ON contains(replace(lower(stop_name), '#', ' '), city) WHERE city NOT IN (SELECT city FROM by_code)),
+    at_ AS (SELECT * FROM (SELECT * FROM by_code UNION ALL SELECT * FROM by_name) QUALIFY row_number() OVER (PARTITION BY city ORDER BY stop_id) <= 30),
+    ends AS (SELECT query_id, 'from' AS side, stop_id FROM pairs JOIN at_ ON city = departure UNION ALL SELECT query_id, 'to', stop_id FROM pairs JOIN at_ ON city = destination)"""
+_NAMED_SQL = """named AS (SELECT answers.*, coalesce(a.stop_name, from_stop) AS from_name, coalesce(t.stop_name, transfer_stop) AS transfer_name, coalesce(b.stop_name, to_stop) AS to_name,
+        coalesce(x.route_id, '') AS route1, coalesce(y.route_id, '') AS route2
+      FROM answers LEFT JOIN stops__v a ON a.stop_id = from_stop LEFT JOIN stops__v t ON t.stop_id = transfer_stop LEFT JOIN stops__v b ON b.stop_id = to_stop
+        LEFT JOIN trips__v x ON x.trip_id = trip1 LEFT JOIN trips__v y ON y.trip_id = trip2)"""
 _FLAGSHIP_SQL = f"""{_PARSED_SQL}, {_HUBS_SQL},
     pairs AS (SELECT DISTINCT departure, destination, concat(departure, '|', destination) AS query_id FROM parsed WHERE status = 'OK'),
-    at_ AS (SELECT city, stop_id FROM hubs JOIN stops__v ON stop_code = hub_uic),
-    ends AS (SELECT query_id, 'from' AS side, stop_id FROM pairs JOIN at_ ON city = departure UNION ALL SELECT query_id, 'to', stop_id FROM pairs JOIN at_ ON city = destination),
-    {_DIRECT_SQL}, {_TRANSFER_SQL}, {_ANSWERS_SQL},
-    full_ AS (SELECT departure, destination, order_id, coalesce(kind, 'none') AS kind, trip1, dep1, arr1, transfer_stop, trip2, dep2, arr2
-      FROM parsed JOIN pairs USING (departure, destination) LEFT JOIN answers USING (query_id) WHERE status = 'OK')"""
+    {_PLACES_SQL}, {_DIRECT_SQL}, {_TRANSFER_SQL}, {_ANSWERS_SQL}, {_NAMED_SQL},
+    full_ AS (SELECT departure, destination, order_id, coalesce(kind, 'none') AS kind, trip1, dep1, arr1, transfer_stop, trip2, dep2, arr2, from_stop, to_stop, from_name, transfer_name, to_name, route1, route2
+      FROM parsed JOIN pairs USING (departure, destination) LEFT JOIN named USING (query_id) WHERE status = 'OK'),
+    written_ AS (SELECT order_id, CASE kind WHEN 'direct' THEN [concat_ws(',', order_id, departure, destination), concat_ws(',', order_id, 'SCHEDULE', 'DIRECT', departure, destination, dep1, arr1, trip1, from_name, to_name)]
+        WHEN 'transfer' THEN [concat_ws(',', order_id, departure, transfer_name, destination), concat_ws(',', order_id, 'SCHEDULE', '1_TRANSFER', departure, destination, dep1, arr1, trip1, dep2, arr2, trip2, from_name, transfer_name, to_name)]
+        ELSE [concat_ws(',', order_id, 'NO_SCHEDULE_FOUND', departure, destination)] END AS ls FROM full_)"""
+_FLAGSHIP_VIEWS = ("orders_text", "cities", "stations", "stops", "stop_times", "trips")
+_LINES_SQL = "SELECT order_id, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS line FROM written_"
 
 
-@_query(f"WITH {_FLAGSHIP_SQL} SELECT * FROM full_", "orders_text", "cities", "stations", "stops", "stop_times")
+@_query(f"WITH {_FLAGSHIP_SQL} SELECT {', '.join(ANSWERS)} FROM full_", *_FLAGSHIP_VIEWS)
 def schedule_answers(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: every order sentence to its timetable answer."""
     orders = view(spark, d, "orders_text").select("order_id", "sentence")
     return answer_orders(orders, view(spark, d, "cities"), view(spark, d, "stations"), _timetable(spark, d))
 
 
-@_query(
-    f"""WITH {_FLAGSHIP_SQL} SELECT order_id, 0 AS line_no, concat_ws(',', order_id, departure, destination) AS line FROM full_
-    UNION ALL SELECT order_id, 1, CASE kind WHEN 'none' THEN concat_ws(',', order_id, 'NO_SCHEDULE_FOUND') ELSE concat_ws(',', order_id, 'SCHEDULE', kind, trip1, dep1, arr1, transfer_stop, trip2, dep2, arr2) END FROM full_""",
-    "orders_text", "cities", "stations", "stops", "stop_times",
-)
+@_query(f"WITH {_FLAGSHIP_SQL} {_LINES_SQL}", *_FLAGSHIP_VIEWS)
 def schedule_lines(spark: SparkSession, d: str) -> DataFrame:
     return tables.schedule_lines(schedule_answers(spark, d))
 
@@ -506,8 +516,8 @@ _JUDGED_SQL = f"""{_PARSED_SQL}, judged AS (SELECT l.order_id, l.sentence, expec
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    found = _parsed(spark, d).select("order_id", "departure", "destination")
-    return evaluate.outcomes(view(spark, d, "labelled").join(found, "order_id"))
+    found = extract.parsed_rows(view(spark, d, "labelled"), view(spark, d, "cities"))
+    return evaluate.outcomes(found.select("row.*", "departure", "destination"))
 
 
 @_query(f"WITH {_JUDGED_SQL} SELECT order_id, outcome FROM judged", "labelled", "orders_text", "cities")
@@ -599,6 +609,24 @@ def station_files(spark: SparkSession, d: str) -> DataFrame:
     return tables.stations(rows.withColumns({c: F.col(c).cast("double") for c in ("latitude", "longitude")})).drop("station_norm")
 
 
+@_query(
+    """SELECT t.trip_id, t.stop_sequence, t.departure_time, coalesce(route_id, '') AS route_id, concat('"', stop_name, '", Nord') AS stop_name, stop_code, concat('"', lower(replace(stop_name, '#', ' ')), '", nord') AS norm
+    FROM stop_times__v t JOIN stops__v USING (stop_id) LEFT JOIN trips__v r ON r.trip_id = t.trip_id""",
+    "stop_times", "stops", "trips",
+)
+def timetable_folder(spark: SparkSession, d: str) -> DataFrame:
+    """A timetable written as text files with quoted names, read again and joined."""
+    base = scratch(spark)
+    named = view(spark, d, "stops").withColumn("stop_name", F.concat(F.lit('"'), "stop_name", F.lit('", Nord')))
+    routes = view(spark, d, "trips").select("route_id").distinct()
+    for name, rows in (("stops", named), ("stop_times", view(spark, d, "stop_times")), ("trips", view(spark, d, "trips")), ("routes", routes)):
+        tables.write_csv(rows, f"{base}/{name}.txt")
+    known = tables.timetable(spark, base)
+    joined = known["stop_times"].join(known["stops"], "stop_id").join(known["trips"], "trip_id", "left")
+    norm = F.concat(F.lit('"'), F.replace("stop_name_norm", F.lit(" nord"), F.lit('", nord')))
+    return joined.select("trip_id", "stop_sequence", "departure_time", F.coalesce("route_id", F.lit("")).alias("route_id"), "stop_name", "stop_code", norm.alias("norm"))
+
+
 @_query("SELECT city FROM {cities}", "cities")
 def dictionary_file(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark)
@@ -615,13 +643,11 @@ def stream_orders(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("order_id string, line string").parquet(f"{base}/out/*")
 
 
-@_query(f"WITH {_ENDS_SQL}, {_DIRECT_SQL}, {_TRANSFER_SQL}, {_ANSWERS_SQL} SELECT stop_id AS query_id, coalesce(kind, 'none') AS kind, trip1, dep1, arr1, transfer_stop, trip2, dep2, arr2 FROM stops__v LEFT JOIN answers ON query_id = stop_id", "ends", "stop_times", "stops")
+@_query(f"WITH {_FLAGSHIP_SQL} {_LINES_SQL}", *_FLAGSHIP_VIEWS)
 def stream_schedule(spark: SparkSession, d: str) -> DataFrame:
-    """Queries that arrive as files, answered from the static timetable in micro-batches."""
-    base, ends = scratch(spark), view(spark, d, "ends")
-    view(spark, d, "stops").select(F.col("stop_id").alias("query_id")).write.parquet(f"{base}/in")
-    asked = spark.readStream.schema("query_id string").parquet(f"{base}/in")
-    of_batch = lambda batch: ends.join(batch.select("query_id"), "query_id", "left_semi")
-    streams.schedule_stream(asked, of_batch, _timetable(spark, d)["stop_times"], f"{base}/out", f"{base}/state").awaitTermination()
-    names = ("query_id", "kind", "trip1", "dep1", "arr1", "transfer_stop", "trip2", "dep2", "arr2")
-    return spark.read.schema(", ".join(f"{n} string" for n in names)).parquet(f"{base}/out/*")
+    """Pairs of cities that arrive as lines in files, answered with schedule lines in micro-batches."""
+    base = scratch(spark)
+    tables.valid_lines(tables.order_answers(_parsed(spark, d)), "line").select("line").write.text(f"{base}/in")
+    lines = streams.order_stream(spark, f"{base}/in")
+    streams.schedule_stream(lines, view(spark, d, "stations"), _timetable(spark, d), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.schema("order_id string, line_no int, line string").parquet(f"{base}/out/*")

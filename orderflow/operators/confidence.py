@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.operators.extract import parse_orders
-from orderflow.operators.gazetteer import first_two, mentions
-from orderflow.operators.stations import candidates_for_city, candidates_for_text
+from orderflow.functions.text import stripped
+from orderflow.operators.extract import parsed_rows
+from orderflow.operators.gazetteer import row_pairs
+from orderflow.operators.stations import candidates_for_city, candidates_for_words, free_words
+from orderflow.sources.scratch import stored
 
 # Fixed values.
 BOTH, ONE, NEITHER, FAILED = 0.93, 0.85, 0.72, 0.15
@@ -57,19 +59,21 @@ def resolve(orders: DataFrame, cities: DataFrame, stations: DataFrame, mode: str
 
     ``mode`` is baseline (patterns and dictionary) or gazetteer (first two names mentioned). A blank sentence has
     reason empty_input and confidence 0, an unknown mode unknown_mode and 0; a failure has the mode's reason and
-    0.15, and if ``helpful`` stations proposed from its words.
+    0.15, and if ``helpful`` stations proposed from its words. Each row of a null or repeated id is answered for itself.
     """
-    asked = orders.select("order_id", "sentence", (F.btrim(F.coalesce("sentence", F.lit(""))) == "").alias("empty"))
+    empty = stripped(F.coalesce("sentence", F.lit(""))) == ""
+    asked = orders.select("order_id", "sentence", empty.alias("empty"))
     none = F.lit(None).cast("string")
     if mode == "baseline":
-        pairs = parse_orders(asked.where("NOT empty").select("order_id", "sentence"), cities).where("status = 'OK'").select("order_id", "departure", "destination")
+        pairs = parsed_rows(asked, cities)
     elif mode == "gazetteer":
-        pairs = first_two(mentions(asked.where("NOT empty"), cities.select(F.col("city").alias("name"))))
+        pairs = row_pairs(asked, cities.select(F.col("city").alias("name")))
     else:
-        pairs = asked.where("false").select("order_id", none.alias("departure"), none.alias("destination"))
+        pairs = asked.select(F.struct("*").alias("row"), none.alias("departure"), none.alias("destination"))
+    pairs = stored(pairs.select("row.*", "departure", "destination"))
     known = candidate_lists(pairs.select(F.explode(F.array("departure", "destination")).alias("city")), stations, limit)
     side = lambda city, name: known.select(F.col("city").alias(city), F.col("candidates").alias(name))
-    rows = asked.join(pairs, "order_id", "left").join(side("departure", "dep_candidates"), "departure", "left").join(side("destination", "arr_candidates"), "destination", "left")
+    rows = pairs.join(side("departure", "dep_candidates"), "departure", "left").join(side("destination", "arr_candidates"), "destination", "left")
     empty_list = F.array().cast(known.schema["candidates"].dataType)
     rows = rows.withColumns({c: F.coalesce(c, empty_list) for c in ("dep_candidates", "arr_candidates")})
     ok, base = F.col("departure").isNotNull(), literal_confidence(F.col("sentence"), F.col("departure"), F.col("destination"))
@@ -88,7 +92,9 @@ def resolve(orders: DataFrame, cities: DataFrame, stations: DataFrame, mode: str
     )
     if not helpful or mode not in REASONS:
         return out
-    offered = candidates_for_text(out.where("NOT ok AND reason != 'empty_input'").select("order_id", "sentence"), stations, limit)
+    # stations are proposed for sets of words and looked up by them, so rows need no key
+    words = F.when(~F.col("ok") & (F.col("reason") != "empty_input"), free_words(F.col("sentence")))
+    offered = candidates_for_words(out.select(words.alias("words")).where("size(words) > 0").distinct(), stations, limit)
     one = F.struct("rank", "station_name", "uic_code", "latitude", "longitude")
-    offered = offered.groupBy("order_id").agg(F.array_sort(F.collect_list(one)).alias("proposed"))
-    return out.join(offered, "order_id", "left")
+    offered = offered.groupBy("words").agg(F.array_sort(F.collect_list(one)).alias("proposed"))
+    return out.withColumn("words", words).join(offered, "words", "left").drop("words")

@@ -1,6 +1,7 @@
 """Departure and destination of travel orders: keyword filter, slots by pattern, dictionary match.
 
-All matching is done on the different slots and joined back, so a slot that a million orders share costs one match.
+All matching is done on the different slots and joined back, so a slot that a million orders share costs one match. Orders are
+rows and not ids: ids may be null or repeated, and every row of the input has its own row in the result.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions.fuzzy import best_matches
-from orderflow.functions.text import clean_slot, norm_ascii
-from orderflow.sources.scratch import stored
+from orderflow.functions.text import clean_slot, norm_ascii, stripped
+from orderflow.operators.containment import held_by
+from orderflow.sources.scratch import spread, stored
 
 # Fixed values.
 KEYWORDS = ("a", "de", "rendre", "bus", "vers")
@@ -35,10 +37,7 @@ PATTERNS = (
 def is_about_travel(sentence: Column) -> Column:
     """Whether the normal form holds any keyword, as a part of a word too."""
     # a keyword in the text as it is stays in the normal form, so most sentences need not be normalised
-    low, hit = norm_ascii(sentence), F.contains(F.lower(sentence), F.lit(KEYWORDS[0]))
-    for k in KEYWORDS:
-        hit = hit | F.contains(low, F.lit(k))
-    return hit
+    return F.contains(F.lower(sentence), F.lit(KEYWORDS[0])) | norm_ascii(sentence).rlike("|".join(KEYWORDS))
 
 
 def slots(sentence: Column) -> Column:
@@ -50,12 +49,16 @@ def slots(sentence: Column) -> Column:
     return out
 
 
+def _found_slots() -> Column:
+    """The slots of ``sentence``; null where it is too short, off topic or fits no pattern."""
+    text = stripped(F.col("sentence"))
+    return F.when((F.length(text) >= LEAST_SENTENCE) & is_about_travel(text), slots(text))
+
+
 def order_slots(orders: DataFrame) -> DataFrame:
     """``orders`` with ``dep_slot, dest_slot``; null where the sentence is too short, off topic or fits no pattern."""
-    text = F.btrim("sentence")
-    fit = (F.length(text) >= LEAST_SENTENCE) & is_about_travel(text)
-    found = orders.withColumn("__slots", F.when(fit, slots(text)))
-    return found.select(*orders.columns, F.col("__slots.dep").alias("dep_slot"), F.col("__slots.dest").alias("dest_slot"))
+    found = orders.withColumn("__slots", _found_slots())
+    return found.select(*(F.col(f"`{c}`") for c in orders.columns), F.col("__slots.dep").alias("dep_slot"), F.col("__slots.dest").alias("dest_slot"))
 
 
 def city_names(cities: DataFrame) -> DataFrame:
@@ -66,20 +69,18 @@ def city_names(cities: DataFrame) -> DataFrame:
 def contained_cities(slots_: DataFrame, cities: DataFrame) -> DataFrame:
     """Different normal ``slot`` values to ``slot, city, n_cities`` for those that hold names of the dictionary.
 
-    ``city`` is set if there is just one. A name within a slot begins with a gram of the slot, so the pairs to
-    test come from an equi-join on grams, not from all slots and all names.
+    ``city`` is set if there is just one. The pairs come from an equi-join on parts of the slots.
     """
-    grams = F.array_distinct(
-        F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("slot") - n + 1, F.lit(1))), lambda i: F.substring("slot", i, n))))
-    )
-    cut = slots_.select("slot", F.explode(grams).alias("gram"))
-    keyed = city_names(cities).withColumn("gram", F.substring("city_norm", 1, 3))
-    met = cut.join(keyed, "gram").where(F.contains("slot", F.col("city_norm")))
+    names = city_names(cities)
+    met = held_by(slots_, "slot", names, "city_norm").join(names, "city_norm")
     return met.groupBy("slot").agg(F.count("*").alias("n_cities"), F.min("city").alias("city")).select("slot", F.when(F.col("n_cities") == 1, F.col("city")).alias("city"), "n_cities")
 
 
-def fuzzy_cities(slots_: DataFrame, cities: DataFrame, block_names: int = BLOCK_NAMES) -> DataFrame:
-    """Different normal ``slot`` values to their best name ``slot, score, name_order, city_norm, city``, of any score.
+def fuzzy_cities(slots_: DataFrame, cities: DataFrame, least: float = 0.0, block_names: int = BLOCK_NAMES) -> DataFrame:
+    """Different normal ``slot`` values to their best name ``slot, score, city_norm, city``.
+
+    A slot whose best score is below ``least`` has score 0 and no name. Scores are computed only for names whose bound by common letters
+    allows a better one.
 
     On equal scores the first name by its normal form wins. The dictionary is shipped to the tasks in blocks of
     a bounded number of names, and the best of the blocks' answers is taken.
@@ -89,12 +90,11 @@ def fuzzy_cities(slots_: DataFrame, cities: DataFrame, block_names: int = BLOCK_
     for b in range(n):
         rows = names.where(F.pmod(F.xxhash64("city_norm"), F.lit(n)) == b).collect()
         known = [(k, r.city_norm, r.city) for k, r in enumerate(sorted(rows, key=lambda r: r.city_norm))]
-        got = slots_.select("slot").mapInPandas(best_matches(known), "score double, name_order int, city_norm string, city string, slot string")
+        got = slots_.select("slot").mapInPandas(best_matches(known, least), "score double, name_order int, city_norm string, city string, slot string")
         best = got if best is None else best.unionByName(got)
     if n > 1:
-        first = F.struct(F.col("score"), -F.col("name_order"), "city_norm", "city")
-        best = best.groupBy("slot").agg(F.max_by(F.struct("score", "name_order", "city_norm", "city"), first).alias("r")).select("slot", "r.*")
-    return best.select("slot", "score", "name_order", "city_norm", "city")
+        best = best.groupBy("slot").agg(F.min_by(F.struct("score", "city_norm", "city"), F.struct(-F.col("score"), "city_norm")).alias("r")).select("slot", "r.*")
+    return best.select("slot", "score", "city_norm", "city")
 
 
 def match_cities(slots_: DataFrame, cities: DataFrame) -> DataFrame:
@@ -106,37 +106,46 @@ def match_cities(slots_: DataFrame, cities: DataFrame) -> DataFrame:
     norms = own.where(F.length("norm") >= LEAST_SLOT).select(F.col("norm").alias("slot")).distinct()
     held = contained_cities(norms, cities)
     rest = norms.join(held, "slot", "left_anti")
-    near = fuzzy_cities(rest, cities).where(
+    near = fuzzy_cities(rest, cities, LEAST_SCORE).where(
         (F.col("score") >= LEAST_SCORE) & (F.abs(F.length("city_norm") - F.length("slot")) <= MOST_GAP)
     )
     found = held.select("slot", "city").unionByName(near.select("slot", "city")).where("city IS NOT NULL")
     return own.join(found.withColumnRenamed("slot", "norm"), "norm", "left").select("slot", "city")
 
 
-def parse_orders(orders: DataFrame, cities: DataFrame) -> DataFrame:
-    """``order_id, sentence`` to ``order_id, sentence, departure, destination, status``.
+def parsed_rows(orders: DataFrame, cities: DataFrame) -> DataFrame:
+    """Every row of ``orders`` (with a ``sentence``) as ``row``, with ``departure`` and ``destination``.
 
-    ``status`` is OK, or INVALID: then the pair is null, because no pattern fits, a slot names no
-    city or several, or both name the same. A status that is given and is not OK stays.
+    Both are null unless a pattern fits, each slot names one city of the dictionary, and the two differ. Sentences are
+    searched once: the slots are stored with the rows, as the search for cities and the lookup both read them.
     """
-    cut = order_slots(orders)
+    rows = spread(orders).select(F.struct(*(F.col(f"`{c}`") for c in orders.columns)).alias("row"), _found_slots().alias("slots"))
+    cut = stored(rows.select("row", F.col("slots.dep").alias("dep_slot"), F.col("slots.dest").alias("dest_slot")))
     used = stored(cut.select(F.explode(F.array("dep_slot", "dest_slot")).alias("slot")).where("slot IS NOT NULL").distinct())
     known = stored(match_cities(used, cities).where("city IS NOT NULL"))
     side = lambda name, slot: known.select(F.col("slot").alias(slot), F.col("city").alias(name))
     both = cut.join(side("departure", "dep_slot"), "dep_slot", "left").join(side("destination", "dest_slot"), "dest_slot", "left")
-    ok = F.col("departure").isNotNull() & F.col("destination").isNotNull() & (F.col("departure") != F.col("destination"))
-    status = F.when(ok, F.lit("OK")).otherwise(F.lit("INVALID"))
+    ok = F.coalesce(F.col("departure") != F.col("destination"), F.lit(False))
+    return both.select("row", F.when(ok, F.col("departure")).alias("departure"), F.when(ok, F.col("destination")).alias("destination"))
+
+
+def parse_orders(orders: DataFrame, cities: DataFrame) -> DataFrame:
+    """``order_id, sentence`` to ``order_id, sentence, departure, destination, status``, a row each.
+
+    ``status`` is OK, or INVALID: then the pair is null, because no pattern fits, a slot names no
+    city or several, or both name the same. A status that is given and is not OK stays. A null or empty
+    sentence is INVALID; null and repeated ids are given as they come.
+    """
+    status = F.when(F.col("departure").isNotNull(), F.lit("OK")).otherwise(F.lit("INVALID"))
     if "status" in orders.columns:
-        status = F.when(F.col("status") != "OK", F.col("status")).otherwise(status)
-    return both.select(
-        "order_id", "sentence", F.when(ok, F.col("departure")).alias("departure"), F.when(ok, F.col("destination")).alias("destination"), status.alias("status")
-    )
+        status = F.when(F.col("row.status") != "OK", F.col("row.status")).otherwise(status)
+    return parsed_rows(orders, cities).select("row.order_id", "row.sentence", "departure", "destination", status.alias("status"))
 
 
 def route_cities(orders: DataFrame) -> DataFrame:
     """``orders`` with ``route``, the pair as an array, and ``route_status``: INVALID_PATH if an end is blank."""
-    fit = (F.btrim("departure") != "") & (F.btrim("destination") != "")
-    fit = F.coalesce(fit, F.lit(False))
+    dep, dest = (stripped(F.col(c)) for c in ("departure", "destination"))
+    fit = F.coalesce((dep != "") & (dest != ""), F.lit(False))
     return orders.withColumns(
-        {"route": F.when(fit, F.array(F.btrim("departure"), F.btrim("destination"))), "route_status": F.when(fit, F.lit("OK")).otherwise(F.lit("INVALID_PATH"))}
+        {"route": F.when(fit, F.array(dep, dest)), "route_status": F.when(fit, F.lit("OK")).otherwise(F.lit("INVALID_PATH"))}
     )

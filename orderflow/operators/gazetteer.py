@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.functions.text import name_variants
+from orderflow.functions.text import name_variants, running_total
+from orderflow.sources.scratch import spread, stored
 
 _TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 
@@ -19,55 +20,88 @@ def longest_names(stations: DataFrame, limit: int = 600) -> DataFrame:
 def _tokens(text: Column) -> Column:
     """Tokens with the 0-based places where they begin and end."""
     found = F.regexp_extract_all(text, F.lit(_TOKEN), 0)
-    gaps = F.split(text, _TOKEN, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<t:string,b:int,e:int>>").alias("out"))
-    step = lambda a, r: F.struct(
-        (a["at"] + r["g"] + F.length(r["t"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct(r["t"].alias("t"), (a["at"] + r["g"]).alias("b"), (a["at"] + r["g"] + F.length(r["t"])).alias("e")))).alias("out"),
-    )
-    rows = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda t, g: F.struct(t.alias("t"), F.length(g).alias("g")))
-    return F.aggregate(rows, start, step, lambda a: a["out"])
+    gaps = F.transform(F.slice(F.split(text, _TOKEN, -1), F.lit(1), F.size(found)), lambda g: F.length(g))
+    ends = running_total(F.zip_with(gaps, found, lambda g, t: g + F.length(t)))
+    return F.zip_with(found, ends, lambda t, e: F.struct(t.alias("t"), (e - F.length(t)).alias("b"), e.alias("e")))
 
 
 def _key(tokens: Column) -> Column:
     return F.array_join(tokens, "\u0001")
 
 
+def _names(names: DataFrame, fold) -> DataFrame:
+    """Dictionary names and their variants as token keys: ``key, n``."""
+    tokens = F.regexp_extract_all(fold(F.col("v")), F.lit(_TOKEN), 0)
+    return names.select(F.explode(name_variants(F.col("name"))).alias("v")).select(_key(tokens).alias("key"), F.size(tokens).alias("n")).where("n > 0").distinct()
+
+
+def _spans(texts: DataFrame, keys: DataFrame, fold) -> DataFrame:
+    """``rid, text`` to the spans of names, overlapping ones too: ``rid, n, start, end``."""
+    sizes = sorted(r.n for r in keys.select("n").distinct().collect())  # as many as the longest name has tokens
+    cut = texts.select("rid", _tokens(F.col("text")).alias("ts"))
+    ts = F.col("ts")
+    runs = F.flatten(F.transform(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.size(ts)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.size(ts) - n + 1),
+        lambda i: F.struct(
+            _key(F.transform(F.slice(ts, i, n), lambda t: fold(t["t"]))).alias("key"), n.alias("n"), F.get(ts, i - 1)["b"].alias("start"), F.get(ts, i + n - 2)["e"].alias("end")
+        ),
+    )))
+    return cut.select("rid", F.inline(runs)).join(keys.select("key", "n"), ["key", "n"]).select("rid", "n", "start", "end")
+
+
+def _free_spans(spans: DataFrame) -> DataFrame:
+    """Of overlapping spans of a ``rid`` the longest in tokens, then the first. Only those that overlap in a chain are compared."""
+    own = Window.partitionBy("rid").orderBy("start", F.desc("end"))
+    reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    chained = spans.distinct().withColumn("new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    chains = chained.withColumn("chain", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    one = F.struct((-F.col("n")).alias("rank"), F.col("start"), F.col("end"))
+    grouped = chains.groupBy("rid", "chain").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    free = lambda a, s: ~F.exists(a, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+    kept = F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), lambda a, s: F.when(free(a, s), F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(a))
+    return grouped.select("rid", F.inline(kept))
+
+
+def numbered(texts: DataFrame, text_col: str) -> DataFrame:
+    """Every row of ``texts`` as ``row`` with a number of its own (``rid``) and its ``text``, stored, so that the number holds."""
+    rows = spread(texts).select(F.struct(*(F.col(f"`{c}`") for c in texts.columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return stored(rows.withColumn("rid", F.monotonically_increasing_id()))
+
+
+def row_mentions(rows: DataFrame, names: DataFrame, ignore_case: bool = False) -> DataFrame:
+    """Rows of ``numbered`` to the spans of dictionary names (``name``) in their texts: ``rid, start, end``.
+
+    Runs of as many tokens as names have are looked up by an equi-join; texts themselves are not joined, grouped or repeated.
+    """
+    fold = F.lower if ignore_case else (lambda c: c)
+    return _free_spans(_spans(rows.select("rid", "text"), stored(_names(names, fold)), fold))
+
+
 def mentions(texts: DataFrame, names: DataFrame, ignore_case: bool = False, id_col: str = "order_id", text_col: str = "sentence") -> DataFrame:
     """Spans of dictionary names (``name``, with their variants) in ``texts``: id, ``text, start, end``.
 
     Tokens are runs of letters and digits, and single signs. Of overlapping spans the longest stays, then the first.
-    Every run of tokens up to the longest name is looked up by an equi-join, so texts and names may both be large.
+    Texts and names may both be large. Each row of a repeated or null id has its own mentions; null and empty texts have none.
     """
-    fold = F.lower if ignore_case else (lambda c: c)
-    keys = names.select(F.explode(name_variants(F.col("name"))).alias("v")).select(
-        _key(F.regexp_extract_all(fold(F.col("v")), F.lit(_TOKEN), 0)).alias("key"), F.size(F.regexp_extract_all("v", F.lit(_TOKEN), 0)).alias("n")
-    ).where("n > 0").distinct()
-    most = keys.agg(F.max("n")).first()[0] or 0
-    cut = texts.select(id_col, F.col(text_col).alias("__text"), _tokens(F.coalesce(text_col, F.lit(""))).alias("__tokens"))
-    sizes = F.sequence(F.lit(1), F.lit(most)) if most else F.array().cast("array<int>")
-    runs = F.flatten(
-        F.transform(sizes, lambda n: F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(F.size("__tokens"), F.lit(1))), lambda i: i + n - 1 <= F.size("__tokens")),
-            lambda i: F.struct(
-                _key(F.transform(F.slice("__tokens", i, n), lambda t: fold(t["t"]))).alias("key"),
-                n.alias("n"),
-                F.get("__tokens", i - 1)["b"].alias("start"),
-                F.get("__tokens", i + n - 2)["e"].alias("end"),
-            ),
-        ))
-    )
-    met = cut.select(id_col, "__text", F.explode(runs).alias("r")).join(keys.select(F.col("key").alias("k")), F.col("r.key") == F.col("k"))
-    spans = met.groupBy(id_col, "__text").agg(F.array_sort(F.collect_set(F.struct((-F.col("r.n")).alias("rank"), F.col("r.start").alias("start"), F.col("r.end").alias("end")))).alias("spans"))
-    free = lambda a, s: ~F.exists(a, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
-    kept = F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), lambda a, s: F.when(free(a, s), F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(a))
-    return spans.select(id_col, "__text", F.explode(F.array_sort(kept)).alias("s")).select(
-        id_col, F.substring("__text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("text"), F.col("s.start").alias("start"), F.col("s.end").alias("end")
-    )
+    rows = numbered(texts, text_col)
+    found = row_mentions(rows, names, ignore_case).join(rows.select("rid", "text", F.col(f"row.`{id_col}`").alias(id_col)), "rid")
+    said = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    return found.select(id_col, said.alias("text"), "start", "end")
 
 
 def first_two(found: DataFrame, id_col: str = "order_id") -> DataFrame:
-    """Mentions to ``id, departure, destination``: the first two that differ beyond case, in text order; others go."""
+    """Mentions to ``id, departure, destination``: the first two that differ beyond case, in text order; others go.
+
+    Mentions of one id are taken for those of one text; see ``row_pairs`` where ids are null or repeated.
+    """
     once = found.groupBy(id_col, F.lower("text").alias("__low")).agg(F.min(F.struct("start", "text")).alias("m"))
     ordered = once.groupBy(id_col).agg(F.array_sort(F.collect_list("m")).alias("m")).where(F.size("m") >= 2)
     return ordered.select(id_col, F.col("m")[0]["text"].alias("departure"), F.col("m")[1]["text"].alias("destination"))
+
+
+def row_pairs(texts: DataFrame, names: DataFrame, text_col: str = "sentence") -> DataFrame:
+    """Every row of ``texts`` as ``row`` with the first two names its text mentions: ``departure, destination``, else null."""
+    rows = numbered(texts, text_col)
+    said = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text")
+    found = row_mentions(rows, names).join(rows.select("rid", "text"), "rid").select("rid", said, "start")
+    return rows.join(first_two(found, "rid"), "rid", "left").select("row", "departure", "destination")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.functions.text import norm_french
+from orderflow.functions.text import norm_french, stripped
+from orderflow.operators.containment import held_by
 
 # Fixed values.
 CANDIDATE_WORDS = (("gare", 10), ("part dieu", 8), ("perrache", 7), ("saint", 2), ("st", 2), ("centre", 2))
@@ -21,9 +22,9 @@ def _points(name: Column, words) -> Column:
     return out
 
 
-def _top(rows: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
-    own = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= limit)
+def _top(rows: DataFrame, keys: list[str], order: list[Column], limit: int | None) -> DataFrame:
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def _runs(words: Column, most: int) -> Column:
@@ -50,28 +51,35 @@ def candidates_for_city(cities: DataFrame, stations: DataFrame, limit: int = 12)
     return best.select("city", "rank", "rank_score", "station_name", "uic_code", "latitude", "longitude")
 
 
-def candidates_for_text(texts: DataFrame, stations: DataFrame, limit: int = 12, id_col: str = "order_id", text_col: str = "sentence") -> DataFrame:
-    """Stations whose normal name holds words of four letters or more of the text; id, ``rank, hits`` and the station.
+def free_words(text: Column) -> Column:
+    """The words of four letters or more of a text, sorted, repeats kept."""
+    return F.array_sort(F.filter(F.split(norm_french(text), " "), lambda w: F.length(w) >= LEAST_TOKEN))
+
 
-    A word that stands twice counts twice. Texts with the same words are ranked once. A word within a name begins with
-    four letters that are a gram of the name, so pairs come from an equi-join on those.
+def candidates_for_words(asked: DataFrame, stations: DataFrame, limit: int = 12) -> DataFrame:
+    """Different ``words`` arrays to ``words, rank, hits`` and the stations whose normal name holds most of them.
+
+    Pairs of a word and a name come from an equi-join on parts of the names.
     """
-    words = F.array_sort(F.filter(F.split(norm_french(F.col(text_col)), " "), lambda w: F.length(w) >= LEAST_TOKEN))
-    asked = texts.select(id_col, words.alias("words")).where(F.size("words") > 0)
-    counted = asked.select("words").distinct().select("words", F.explode("words").alias("word")).groupBy("words", "word").agg(F.count("*").alias("n"))
-    spans = F.sequence(F.lit(1), F.length("station_norm") - LEAST_TOKEN + 1)
-    grams = F.array_distinct(F.transform(spans, lambda i: F.substring("station_norm", i, F.lit(LEAST_TOKEN))))
-    names = stations.select("station_norm").distinct().where(F.length("station_norm") >= LEAST_TOKEN)
-    keyed = counted.select("word").distinct().withColumn("gram", F.substring("word", 1, LEAST_TOKEN))
-    met = keyed.join(names.select("station_norm", F.explode(grams).alias("gram")), "gram").where(F.contains("station_norm", F.col("word")))
-    hits = counted.join(met.select("word", "station_norm"), "word").groupBy("words", "station_norm").agg(F.sum("n").alias("hits"))
+    counted = asked.select("words", F.explode("words").alias("word")).groupBy("words", "word").agg(F.count("*").alias("n"))
+    met = held_by(stations, "station_norm", counted, "word")
+    hits = counted.join(met, "word").groupBy("words", "station_norm").agg(F.sum("n").alias("hits"))
     order = [F.desc("hits"), F.length("station_norm").asc(), F.asc("station_norm")]
     # each name has a station, and those of one name rank alike up to their own names and codes
     few = _top(hits, ["words"], order, limit).drop("rank")
     first = _top(stations, ["station_norm"], [F.asc("station_name"), F.asc("uic_code")], limit).drop("rank")
     best = _top(few.join(first, "station_norm"), ["words"], [F.desc("hits"), F.length("station_norm").asc(), F.asc("station_name"), F.asc("uic_code")], limit)
-    found = best.select("words", "rank", "hits", "station_name", "uic_code", "latitude", "longitude")
-    return asked.join(found, "words").drop("words")
+    return best.select("words", "rank", "hits", "station_name", "uic_code", "latitude", "longitude")
+
+
+def candidates_for_text(texts: DataFrame, stations: DataFrame, limit: int = 12, id_col: str = "order_id", text_col: str = "sentence") -> DataFrame:
+    """Stations whose normal name holds words of four letters or more of the text; id, ``rank, hits`` and the station.
+
+    A word that stands twice counts twice. Texts with the same words are ranked once. Null texts have no words; null and
+    repeated ids are given as they come.
+    """
+    asked = texts.select(id_col, free_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    return asked.join(candidates_for_words(asked.select("words").distinct(), stations, limit), "words").drop("words")
 
 
 def by_code(codes: DataFrame, stations: DataFrame) -> DataFrame:
@@ -80,35 +88,26 @@ def by_code(codes: DataFrame, stations: DataFrame) -> DataFrame:
     return codes.join(one.where("uic_code != ''"), "uic_code", "left")
 
 
-def search(queries: DataFrame, stations: DataFrame, limit: int = 10) -> DataFrame:
+def search(queries: DataFrame, stations: DataFrame, limit: int | None = 10) -> DataFrame:
     """Different ``query`` values to ``query, rank`` and the stations whose name holds them, in any case, by name.
 
-    The query is taken literally. A query is matched against the different words' grams where it has three letters.
+    The query is taken literally. No limit gives all stations.
     """
-    names = stations.select(F.lower("station_name").alias("low")).distinct()
-    asked = queries.select("query", F.lower("query").alias("low_query")).distinct().where("low_query != ''")
-    size = F.least(F.length("low_query"), F.lit(3))
-    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(
-        F.filter(F.sequence(F.lit(1), F.length("low")), lambda i: i + n - 1 <= F.length("low")), lambda i: F.substring("low", i, n)))))
-    met = asked.withColumn("gram", F.substring("low_query", F.lit(1), size)).join(names.where("low != ''").select("low", F.explode(grams).alias("gram")), "gram")
-    met = met.where(F.contains("low", F.col("low_query"))).select("query", "low")
-    full = met.join(stations.withColumn("low", F.lower("station_name")), "low")
-    return _top(full, ["query"], [F.asc("station_name"), F.asc("uic_code")], limit).select("query", "rank", "station_name", "uic_code")
+    asked = queries.select("query", F.lower("query").alias("low_query")).distinct()
+    named = stations.withColumn("low", F.lower("station_name"))
+    met = held_by(named, "low", asked, "low_query").join(asked, "low_query").select("query", "low")
+    return _top(met.join(named, "low"), ["query"], [F.asc("station_name"), F.asc("uic_code")], limit).select("query", "rank", "station_name", "uic_code")
 
 
 def hub_of_city(cities: DataFrame, stations: DataFrame) -> DataFrame:
     """Different ``city`` values to ``city, hub_name, hub_uic, hub_score``: the best station whose name begins with the
     city's and a blank, or else holds it."""
-    asked = cities.select("city").distinct().withColumn("low", F.btrim(F.lower("city"))).where("low != ''")
-    named = stations.select("station_name", "uic_code", F.btrim(F.lower("station_name")).alias("name"))
-    # only the first word or gram is joined on; the test itself follows
-    heads = named.withColumn("key", F.split("name", " ")[0])
-    first = asked.withColumn("key", F.split("low", " ")[0]).join(heads, "key").where(F.startswith("name", F.concat("low", F.lit(" ")))).drop("key")
-    rest = asked.join(first.select("city").distinct(), "city", "left_anti")
-    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: i + n - 1 <= F.length("name")), lambda i: F.substring("name", i, n)))))
-    held = rest.withColumn("gram", F.substring("low", 1, 3)).join(named.select("*", F.explode(grams).alias("gram")), "gram").where(F.contains("name", F.col("low"))).drop("gram")
-    all_ = first.withColumn("tier", F.lit(1)).unionByName(held.withColumn("tier", F.lit(2)))
+    asked = cities.select("city").distinct().withColumn("low", stripped(F.lower("city"))).where("low != ''")
+    named = stations.select("station_name", "uic_code", stripped(F.lower("station_name")).alias("name"))
+    met = held_by(named, "name", asked, "low").join(asked, "low")
+    # beginnings are better than other places, and other places count only where there is no beginning
+    tier = F.when(F.startswith("name", F.concat("low", F.lit(" "))), 1).otherwise(2)
+    all_ = met.join(named, "name").withColumn("tier", tier)
     score = F.greatest(F.lit(0), 30 - F.floor(F.length("name") / 3)) + _points(F.col("name"), HUB_WORDS)
     for city, word, points in reversed(HUBS):
         score = F.when((F.col("low") == city) & F.contains("name", F.lit(word)), points).otherwise(score)

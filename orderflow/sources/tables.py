@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.functions.text import coordinates, norm_french
+from orderflow.functions.text import coordinates, norm_french, stripped
 
 LABELLED = "sentence_id string, sentence string, expected_dep string, expected_dest string, expected_valid int"
 # Headers of the raw station list and our names for them.
@@ -22,20 +22,21 @@ TIMETABLE = {
 def order_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """``id,sentence`` lines, cut at the first comma, to ``order_id, sentence, status``; blank lines go.
 
-    A line without a comma keeps its whole text as id and has status INVALID_FORMAT.
+    A line without a comma keeps its whole text as id and has status INVALID_FORMAT. Blanks of any kind are no part of an id
+    or a sentence at their ends.
     """
-    line = F.btrim(F.col(col))
+    line = stripped(F.col(col))
     parts, has = F.split(line, ",", 2), F.contains(line, F.lit(","))
     return lines.where(line != "").select(
-        F.btrim(parts[0]).alias("order_id"),
-        F.when(has, F.btrim(F.get(parts, F.lit(1)))).alias("sentence"),
+        stripped(parts[0]).alias("order_id"),
+        F.when(has, stripped(F.get(parts, F.lit(1)))).alias("sentence"),
         F.when(has, F.lit("OK")).otherwise(F.lit("INVALID_FORMAT")).alias("status"),
     )
 
 
 def triplets(lines: DataFrame, col: str = "value") -> DataFrame:
     """``id,departure,destination`` lines, cut at two commas at most; lines without three non-empty parts go."""
-    parts = F.transform(F.split(F.col(col), ",", 3), lambda x: F.btrim(x))
+    parts = F.transform(F.split(F.col(col), ",", 3), lambda x: stripped(x))
     names = ("order_id", "departure", "destination")
     rows = lines.select(*(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)))
     return rows.where(" AND ".join(f"{n} != ''" for n in names))
@@ -49,14 +50,14 @@ def valid_lines(lines: DataFrame, col: str = "value") -> DataFrame:
 def labelled_rows(spark: SparkSession, path: str) -> DataFrame:
     """Labelled sentences of a CSV file with header; a blank expectation is null."""
     rows = spark.read.schema(LABELLED).option("header", True).option("escape", '"').csv(path)
-    blank = lambda c: F.nullif(F.btrim(c), F.lit("")).alias(c)
+    blank = lambda c: F.nullif(stripped(F.col(c)), F.lit("")).alias(c)
     return rows.select("sentence_id", "sentence", blank("expected_dep"), blank("expected_dest"), "expected_valid")
 
 
 def benchmark_rows(spark: SparkSession, path: str) -> DataFrame:
     """The first two fields of a CSV file without header; rows with a blank one go."""
     rows = spark.read.schema("order_id string, sentence string").option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    return rows.select(F.btrim("order_id").alias("order_id"), F.btrim("sentence").alias("sentence")).where("order_id != '' AND sentence != ''")
+    return rows.select(*(stripped(F.col(c)).alias(c) for c in ("order_id", "sentence"))).where("order_id != '' AND sentence != ''")
 
 
 def raw_stations(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
@@ -94,14 +95,23 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def timetable(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of a timetable folder, all columns as text."""
-    read = {t: spark.read.option("header", True).csv(f"{folder}/{t}.txt") for t in TIMETABLE}
+    """The tables of a timetable folder, all columns as text; quoted fields may hold commas and quotes, but no line ends, so
+    that large files are read in parts."""
+    reader = spark.read.option("header", True).option("escape", '"')
+    read = {t: reader.csv(f"{folder}/{t}.txt") for t in TIMETABLE}
+    read = {t: rows.toDF(*(c.replace("\ufeff", "").strip() for c in rows.columns)) for t, rows in read.items()}
     return timetable_of(**read)
 
 
 def timetable_of(stops: DataFrame, stop_times: DataFrame, trips: DataFrame, routes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Timetable tables with their columns as text, blank for null, and normal stop names."""
+    """Timetable tables with their columns as text, blank for null, and normal stop names.
+
+    Only ``stop_code`` may be missing, and is blank then; another missing column raises.
+    """
     given = {"stops": stops, "stop_times": stop_times, "trips": trips} | ({"routes": routes} if routes is not None else {})
+    missing = [f"{t}.{c}" for t, rows in given.items() for c in TIMETABLE[t] if c not in rows.columns and c != "stop_code"]
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
 
     def text(rows: DataFrame, c: str) -> Column:
         return (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")).alias(c)
@@ -113,7 +123,7 @@ def timetable_of(stops: DataFrame, stop_times: DataFrame, trips: DataFrame, rout
 
 def dictionary(spark: SparkSession, path: str, comments: bool = False) -> DataFrame:
     """Entries of a dictionary file, one a line, trimmed; with ``comments`` lines that begin with # go."""
-    rows = spark.read.text(path).select(F.btrim("value").alias("city")).where("city != ''")
+    rows = spark.read.text(path).select(stripped(F.col("value")).alias("city")).where("city != ''")
     return rows.where(~F.col("city").startswith("#")) if comments else rows
 
 
@@ -124,9 +134,16 @@ def order_answers(orders: DataFrame) -> DataFrame:
 
 
 def schedule_lines(answers: DataFrame) -> DataFrame:
-    """Schedule answers to lines ``order_id, line_no, line``: the route, then the journey or that there is none."""
-    route = F.concat_ws(",", "order_id", "departure", "destination")
-    found = F.concat_ws(",", "order_id", F.lit("SCHEDULE"), "kind", "trip1", "dep1", "arr1", "transfer_stop", "trip2", "dep2", "arr2")
-    none = F.concat_ws(",", "order_id", F.lit("NO_SCHEDULE_FOUND"))
-    second = F.when(F.col("kind") == "none", none).otherwise(found)
-    return answers.select("order_id", F.posexplode(F.array(route, second)).alias("line_no", "line"))
+    """Schedule answers to lines ``order_id, line_no, line``: the route and then the journey, or one line that there is none.
+
+    The stop of a transfer is a step of the route.
+    """
+    line = lambda *parts: F.concat_ws(",", "order_id", *parts)
+    direct = line(F.lit("SCHEDULE"), F.lit("DIRECT"), "departure", "destination", "dep1", "arr1", "trip1", "from_name", "to_name")
+    transfer = line(F.lit("SCHEDULE"), F.lit("1_TRANSFER"), "departure", "destination", "dep1", "arr1", "trip1", "dep2", "arr2", "trip2", "from_name", "transfer_name", "to_name")
+    lines = (
+        F.when(F.col("kind") == "direct", F.array(line("departure", "destination"), direct))
+        .when(F.col("kind") == "transfer", F.array(line("departure", "transfer_name", "destination"), transfer))
+        .otherwise(F.array(line(F.lit("NO_SCHEDULE_FOUND"), "departure", "destination")))
+    )
+    return answers.select("order_id", F.posexplode(lines).alias("line_no", "line"))
