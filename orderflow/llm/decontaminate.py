@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from orderflow.llm._shared import table, text_slices, written
 
 WINDOW = 10
+SLOP = 2  # words that a term may stand before or after its place in a match by proximity
 GAP = 64  # unused positions between documents; more than a window and its slop
 SHARD_WORDS = 2_000_000
 #: Up to so many bytes of benchmark text are looked up at once and shipped to the tasks.
@@ -106,11 +107,11 @@ def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The different windows of some items, by length: their terms, and which items have them."""
+    """The different windows of some items, by length: their terms, and which items have them. An item without an id owns none."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int | None, bytes]]):
         self.terms: dict[bytes, int] = {}
-        self.ids = np.unique(np.array([i for i, _ in items], np.int64))
+        self.ids = np.unique(np.array([i for i, _ in items if i is not None], np.int64))
         found: dict[int, tuple[list, list]] = {}
         for item_id, text in items:
             words = np.array([self.terms.setdefault(w, len(self.terms)) for w in words_of(text)], np.int32)
@@ -118,7 +119,8 @@ class Windows:
             if size:
                 own, owners = found.setdefault(size, ([], []))
                 own.append(np.lib.stride_tricks.sliding_window_view(words, size))
-                owners.append(np.full(len(words) - size + 1, np.searchsorted(self.ids, item_id)))
+                owner = len(self.ids) if item_id is None else np.searchsorted(self.ids, item_id)
+                owners.append(np.full(len(words) - size + 1, owner))
         self.by_size = {n: self._different(np.concatenate(own), np.concatenate(owners)) for n, (own, owners) in sorted(found.items())}
 
     @staticmethod
@@ -172,7 +174,8 @@ class Windows:
         _, owners, begins = self.by_size[length]
         docs, met = np.divmod(np.unique(docs << 32 | met), 1 << 32)
         n = begins[met + 1] - begins[met]
-        return np.unique(np.repeat(docs, n) << 32 | owners[_ranges(begins[met], n)])
+        docs, owners = np.repeat(docs, n), owners[_ranges(begins[met], n)]
+        return np.unique((docs << 32 | owners)[owners < len(self.ids)])
 
 
 def _lists(values: np.ndarray, docs: np.ndarray, n: int) -> pa.Array:
@@ -215,11 +218,15 @@ def _matches(windows: Windows, slop: int):
     return run
 
 
+#: What deals items to blocks: the text of an item without an id.
+_ITEM = "coalesce(CAST(item_id AS STRING), text)"
+
+
 def _blocks(items: DataFrame) -> int:
     """In how many blocks by hash the items are looked up, so that each holds a bounded amount of text."""
     n = max(1, ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
     while n > 1:
-        sizes = items.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("b")).agg(F.sum(F.octet_length("text")).alias("s"), F.countDistinct("item_id").alias("k"))
+        sizes = items.groupBy(F.pmod(F.xxhash64(F.expr(_ITEM)), F.lit(n)).alias("b")).agg(F.sum(F.octet_length("text")).alias("s"), F.countDistinct(F.expr(_ITEM)).alias("k"))
         if sizes.where((F.col("s") > 2 * BLOCK_BYTES) & (F.col("k") > 1)).isEmpty():
             break
         n *= 2
@@ -237,7 +244,7 @@ def _terms(items: DataFrame) -> list[bytes] | None:
 def benchmark_matches(
     docs: DataFrame,
     benchmark: DataFrame,
-    slop: int = 2,
+    slop: int = SLOP,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -246,18 +253,19 @@ def benchmark_matches(
     Columns: ``doc_id, n_words, hit_begins, hit_ends, item_ids, near_ids``. Hits are spans of word numbers
     (end exclusive) that lie in an exact occurrence of a window of ten consecutive words of an item, or of a whole
     item that has fewer; ``item_ids`` have such an occurrence, ``near_ids`` only one by proximity. Null texts and
-    items have no words; an item without an id is left out; items with the same id are one. Null and
+    items have no words; an item without an id hits, and is named nowhere; items with the same id are one. Null and
     repeated doc_ids are given as they come. An empty benchmark hits nothing.
 
-    The benchmark is looked up in blocks of bounded size, against the same stored index.
+    The benchmark is looked up in blocks of bounded size, one after another, against the same stored index; the driver
+    holds one block at a time.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = items.where("text IS NOT NULL")
     index, n, found = written(build_index(docs, _terms(items), id_col, text_col), "index"), _blocks(items), None
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()
-        windows = Windows([(r.item_id, r.text.encode()) for r in rows])
-        got = index.mapInArrow(_matches(windows, slop), MATCHES)
+        rows = items.where(F.pmod(F.xxhash64(F.expr(_ITEM)), F.lit(n)) == b).collect()
+        got = index.mapInArrow(_matches(Windows([(r.item_id, r.text.encode()) for r in rows]), slop), MATCHES)
+        got = written(got.where("size(hit_begins) > 0 OR size(near_ids) > 0 OR %s" % ("true" if b == 0 else "false")), "matches") if n > 1 else got
         found = got if found is None else found.unionByName(got)
     if n > 1:
         joined = {c: F.flatten(F.collect_list(c)) for c in ("hit_begins", "hit_ends", "item_ids", "near_ids")}
@@ -299,35 +307,46 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's words, those under a benchmark window, and the items found."""
-    found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=0)
-    names = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    """Every document's words, those under a benchmark window, the items found, and those found by proximity only."""
+    found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
+    names = lambda c: F.array_sort(F.transform(c, lambda i: i.cast("string")))
     return found.select(
         "doc_id",
         "n_words",
         _n_hit().alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join(names("item_ids"), ","), 256).alias("items_sha256"),
         (F.size("hit_begins") > 0).alias("contaminated"),
+        F.array_join(names("near_ids"), ",").alias("near_items"),
     )
 
 
 def op10_oracle() -> str:
-    """The exact part in DuckDB SQL, and proximity left to the tests."""
+    """The same rows in DuckDB SQL. For proximity, each place of a window's rarest word is tried with every shift."""
     w = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '%s')" % w
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {low} AS ws FROM documents),
     b AS (SELECT item_id, {low} AS ws FROM benchmark),
     win AS (SELECT DISTINCT item_id, len(g) AS k, array_to_string(g, ' ') AS g FROM (
-        SELECT item_id, ws[i : i + least(10, len(ws)) - 1] AS g
-        FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0))),
+        SELECT item_id, ws[i : i + least({WINDOW}, len(ws)) - 1] AS g
+        FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(ws) > 0))),
     places AS (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win)),
     hit AS (SELECT rid, i, a.k, item_id FROM places a JOIN win ON win.k = a.k AND win.g = array_to_string(ws[i : i + a.k - 1], ' ')),
     n AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hit) GROUP BY rid),
     s AS (SELECT rid, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS l
-          FROM hit GROUP BY rid)
+          FROM hit GROUP BY rid),
+    said AS (SELECT rid, p, ws[p] AS x FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS p FROM d)),
+    often AS (SELECT x, count(*) AS n FROM said GROUP BY x),
+    term AS (SELECT g, o, string_split(g, ' ')[o] AS x FROM (SELECT DISTINCT g, unnest(range(1, k + 1)) AS o FROM win)),
+    rare AS (SELECT g, arg_min(o, coalesce(n, 0) * 100 + o) AS o, arg_min(x, coalesce(n, 0) * 100 + o) AS x, min(coalesce(n, 0)) AS least
+             FROM term LEFT JOIN often USING (x) GROUP BY g),
+    tried AS (SELECT DISTINCT rid, g, p - o + e AS i FROM rare JOIN said USING (x), (SELECT unnest(range(-{SLOP}, {SLOP + 1})) AS e) WHERE least > 0),
+    fits AS (SELECT rid, g FROM (SELECT rid, g, i, string_split(g, ' ') AS gs, ws FROM tried JOIN d USING (rid))
+             WHERE list_bool_and(list_transform(range(1, len(gs) + 1), lambda o: list_contains(ws[greatest(i + o - {SLOP}, 1) : greatest(i + o + {SLOP}, 0)], gs[o])))),
+    near AS (SELECT rid, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS l FROM fits JOIN win USING (g)
+             WHERE (rid, item_id) NOT IN (SELECT rid, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
     SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(s.n, 0)::BIGINT AS n_items,
-           sha256(coalesce(s.l, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
-    FROM d LEFT JOIN n USING (rid) LEFT JOIN s USING (rid)
+           sha256(coalesce(s.l, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated, coalesce(near.l, '') AS near_items
+    FROM d LEFT JOIN n USING (rid) LEFT JOIN s USING (rid) LEFT JOIN near USING (rid)
     """

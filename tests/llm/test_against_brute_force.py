@@ -124,8 +124,8 @@ def test_exact_and_near_passages(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 40)
     rng = np.random.default_rng(3)
     texts = {i: " ".join(rng.choice(list("abcde"), rng.integers(0, 30))) for i in range(40)}
-    items = {100: "a b", 7: "c", 20: " ".join("abcdeabcdeab"), 21: "e E, d-d", 22: "x y z", 23: None, 24: "1 a"}
-    texts |= {50: " ".join("abcdexabcdeab"), 51: " ".join("zabcdeabcdeabz"), 52: " ".join("abcdeabcdea")}
+    items = {100: "a b", 7: "c", 20: " ".join("abcdeabcdeab"), 21: "e E, d-d", 22: "x y z", 23: None, 24: "1 a", None: "x q"}
+    texts |= {50: " ".join("abcdexabcdeab"), 51: " ".join("zabcdeabcdeabz"), 52: " ".join("abcdeabcdea"), 53: "x q a", 54: "q x"}
     slop = 1
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
@@ -147,6 +147,8 @@ def test_exact_and_near_passages(spark, monkeypatch, block_bytes):
                         exact.add(i)
                     elif all(fits):
                         near.add(i)
+        exact.discard(None)  # an item without an id hits, and is named nowhere
+        near.discard(None)
         wanted[d] = (len(w), len(hit), sorted(exact), sorted(near - exact))
     got = decontaminate.benchmark_matches(docs, bench, slop).withColumn("n_hit", decontaminate._n_hit())
     assert {r.doc_id: (r.n_words, r.n_hit, sorted(set(r.item_ids)), sorted(set(r.near_ids))) for r in got.collect()} == wanted
