@@ -51,7 +51,7 @@ VIEWS = {
         SELECT order_id, sentence, CASE WHEN n = 10 THEN 'nowhere' WHEN n IN (9, 19) OR kind IN (0, 1, 5, 6) THEN NULL ELSE expected_dep END AS expected_dep,
                CASE WHEN n = 10 THEN 'nowhere' WHEN n IN (9, 19) OR kind IN (0, 1, 5, 6) THEN NULL WHEN n = 8 THEN expected_dep ELSE expected_dest END AS expected_dest,
                CASE WHEN n = 10 THEN 1 WHEN n IN (9, 19) OR kind IN (0, 1, 5, 6) THEN 0 ELSE 1 END AS expected_valid
-        FROM (SELECT *, CAST(order_id AS INT) % 200 AS n FROM {orders_text}) AS o""",
+        FROM (SELECT *, CAST(order_id AS BIGINT) % 200 AS n FROM {orders_text}) AS o""",
     "lines": "SELECT CASE WHEN kind = 0 THEN sentence WHEN kind = 1 THEN '  ' ELSE concat(' ', order_id, ', ', sentence, ', svp ') END AS value FROM {orders_text}",
     "pair_lines": """
         SELECT concat(CAST(o_orderkey AS STRING), ',', CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE o_orderpriority END, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat(', ', o_orderstatus, ',x') END) AS value
