@@ -33,7 +33,7 @@ KINDS = {
     "begins": "array<int>",
     "ends": "array<int>",
     "decoded": "string",
-    "covered_bytes": "long",
+    "spans_sha256": "string",
     "ids_sha256": "string",
     "decoded_sha256": "string",
 }
@@ -256,7 +256,7 @@ def encode_pieces(
 
     Columns: ``doc_id`` and those of ``outputs``: ``n_tokens, ids, begins, ends, decoded``, and the short forms
     ``ids_sha256`` (of the ids as little-endian unsigned 32-bit integers), ``decoded_sha256`` and
-    ``covered_bytes`` (original bytes from the first to the last piece). A null text is taken as empty: it has the
+    ``spans_sha256`` (of begin and end of each piece in turn, as such integers). A null text is taken as empty: it has the
     begin and end ids only, with empty spans. Begin and end ids span nothing at either end. Repeated rows and null
     ids are given as they come; other columns are not read.
 
@@ -269,14 +269,13 @@ def encode_pieces(
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 texts = [x or "" for x in batch.column("text").to_pylist()]
-                ids, begins, ends, covered = [], [], [], []
+                ids, begins, ends = [], [], []
                 for text, got in zip(texts, own.ids(texts, words), strict=True):
                     b, e = own.spans(text, got)
                     size = len(text.encode())
                     ids.append(np.concatenate(([first], got, [last])).astype("<i4"))
                     begins.append(np.concatenate(([0], b, [size])))
                     ends.append(np.concatenate(([0], e, [size])))
-                    covered.append(int(e[-1] - b[0]) if len(b) else 0)
                 decoded = [own.processor.decode(x.tolist()) for x in ids]
                 make = {
                     "n_tokens": lambda: pa.array(map(len, ids), pa.int64()),  # noqa: B023
@@ -284,7 +283,7 @@ def encode_pieces(
                     "begins": lambda: _nested(begins),  # noqa: B023
                     "ends": lambda: _nested(ends),  # noqa: B023
                     "decoded": lambda: pa.array(decoded, pa.string()),  # noqa: B023
-                    "covered_bytes": lambda: pa.array(covered, pa.int64()),  # noqa: B023
+                    "spans_sha256": lambda: pa.array([sha256(np.stack(x, axis=1).astype("<u4").tobytes()).hexdigest() for x in zip(begins, ends, strict=True)]),  # noqa: B023
                     "ids_sha256": lambda: pa.array([sha256(x.tobytes()).hexdigest() for x in ids]),  # noqa: B023
                     "decoded_sha256": lambda: pa.array([sha256(x.encode()).hexdigest() for x in decoded]),  # noqa: B023
                 }
@@ -297,7 +296,7 @@ def encode_pieces(
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document's ids and of its decoded text, and the bytes that its pieces span."""
+    """Digests of every document's ids, of its decoded text, and of the original bytes that each of its pieces spans."""
     return encode_pieces(
-        table(spark, sf_dir, "documents"), model_bytes(), ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")
+        table(spark, sf_dir, "documents"), model_bytes(), ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
     )

@@ -69,9 +69,12 @@ def test_sentencepiece_query_and_spans(spark):
     wanted = set()
     for i, r in documents().items():
         ids = sp.encode(r["text"] or "", add_bos=True, add_eos=True)
-        wanted.add((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+        size = len((r["text"] or "").encode())
+        places = [(0, 0), *((p.begin, p.end) for p in sp.encode(r["text"] or "", return_type="proto").pieces), (size, size)]
+        digest = lambda x: hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()
+        wanted.add((i, len(ids), digest(ids), hashlib.sha256(sp.decode(ids).encode()).hexdigest(), digest(places)))
     got = llm.queries()["op3_sentencepiece"](spark, FOLDER)
-    assert {tuple(r)[:4] for r in got.collect()} == wanted
+    assert {tuple(r) for r in got.collect()} == wanted
     own = pieces.Model.read(pieces.model_bytes())
     for text in ("", " ", "a  b \n c", "▁x ▁ y", "日本 😀 x", "é\0 <s>", "  ", "a ", documents()[0]["text"]):
         ids = own.ids([text], {})[0]
@@ -102,6 +105,24 @@ def test_character_map_takes_the_longest_prefix():
     assert text.decode() == "▁yz▁x" and way.tolist() == [2, 2, 2, 2, 2, 4, 4, 4, 5, 6]
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "nmt_nfkc_cf"])
+def test_compiled_maps_of_the_library(rule):
+    """Normal forms and the way back to original bytes, by the library's own compiled maps."""
+    kept = {"add_dummy_prefix": True, "escape_whitespaces": True, "remove_extra_whitespaces": True}
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule, **kept)
+    spec = dict(pieces._fields(dict(pieces._fields(library.serialized_model_proto()))[3]))
+    own = pieces.Model(None, pieces.CharacterMap(spec[2]), True, True, True, np.zeros(1), False, b"")
+    assert own.charmap.units
+    texts = ["", " ", "  a  b ", "ＡＢＣ　①②", "ﬁn ½ ㍿ x", "e\u0301té İstanbul STRASSE ß", "\u200bx\ufeffy\tz\nw", "カ\u3099 ｶﾞ 한글 \u1112\u1161", "😀 a\u0300\u0301", "ﷺ"]
+    for text in texts + [r["text"] or "" for r in documents().values()]:
+        normal, offsets = library.normalize(text, with_offsets=True)
+        mine, way = own.normalised(text)
+        assert mine.decode() == normal
+        # the library counts code points, and names the begin of each
+        before, at = np.cumsum([0, *(len(c.encode()) for c in normal)]), np.cumsum([0, *(len(c.encode()) for c in text)])
+        assert not normal or [int(way[k]) for k in before] == [int(at[k]) for k in offsets]
+
+
 def test_quality_ablation(spark):
     book = quality_rules.ledger(spark.read.parquet(f"{FOLDER}/documents.parquet"))
     bits = [r.fail_bits for r in book.collect()]
