@@ -16,14 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder: ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder of the context exists (tests on one
-    machine) is a temporary folder made, and registered so that it is made once.
+    Only where neither that setting nor a checkpoint folder of the context exists, and all runs on one machine (tests),
+    is a temporary folder made, and registered so that it is made once. A cluster without either raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orderflow-"))
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
     return made.get().rstrip("/")

@@ -1,8 +1,9 @@
-"""Deterministic sharded WARC archives: written by range of page_id, rolled by compressed size, read back.
+"""Deterministic sharded WARC archives: written in order of page_id, rolled by compressed size, read back.
 
-Shards are ranges of ``page_id`` with about equal payload, cut from exact counts, so the same pages always give the same
-files. A task sorts its shard, writes records of one gzip member each, and starts a new file when
-the compressed size is reached. Files get temporary names; the manifest of the attempts that succeeded is
+Shards are stretches of the order of ``page_id`` and payload digest with about equal payload, cut where the exact running
+total passes a multiple of the shard size, so the same pages always give the same files, and neither ids that lie far apart nor
+an id that many pages share make a shard large. A task sorts its shard, writes records of one gzip member each, and starts a new file
+when the compressed size is reached. Files get temporary names; the manifest of the attempts that succeeded is
 stored first, and only the files it names are moved to their final names.
 """
 
@@ -13,19 +14,22 @@ import io
 import re
 import uuid
 import zlib
+from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from orderflow.llm._shared import scratch_path, table, text_slices, written
+from orderflow.llm._shared import drop_written, scratch_path, table, text_slices, written
 
 SHARD_BYTES = 64 << 20  # of payload
 ROLL_BYTES = 32 << 20  # of compressed file
 LEAST_REVISIT = 100  # bytes; smaller payloads are always written in full
-LEAST_BINS, MOST_BINS = 4096, 1 << 18  # of page_id, counted before shards are cut
+RECORD_BYTES = 512  # what a record weighs beside its payload
 DATE = "1970-01-01T00:00:00Z"
 
 MANIFEST = "name string, temporary string, shard int, records long, bytes long, sha256 string, first_id long, last_id long"
@@ -45,30 +49,42 @@ def _uri(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or "about:blank"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def _name(page_id: int | None, digest: bytes, k: int) -> str:
+    """The id of the ``k``-th record of a page id with a payload; no two records share one."""
+    return f"<urn:x-page:{'' if page_id is None else page_id}:{digest.hex()[:32]}:{k}>"
+
+
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, k: int, refers_to: int | None, revisit: bool) -> bytes:
     """One compressed record: the whole response, or the headers of a revisit."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     headers = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:x-page:{page_id}>"),
+        ("WARC-Record-ID", _name(page_id, digest, k)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", _uri(url)),
         ("Content-Type", "application/http; msgtype=response"),
-        ("WARC-Payload-Digest", f"sha256:{sha256(payload).hexdigest()}"),
+        ("WARC-Payload-Digest", f"sha256:{digest.hex()}"),
         ("WARC-Block-Digest", f"sha256:{sha256(block).hexdigest()}"),
         ("X-Payload-Length", str(len(payload))),
     ]
     if revisit:
-        headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:x-page:{refers_to}>")]
+        headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", _name(refers_to, digest, 0))]
     return _record(headers, block)
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """A folder's file system and its path there; the names that Hadoop has for object stores are known too."""
+    for hadoop, own in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://"), ("wasb://", "abfs://")):
+        path = own + path.removeprefix(hadoop) if path.startswith(hadoop) else path
+    return fs.FileSystem.from_uri(path)
+
+
 class _Roller:
     """Files of one shard under temporary names; ``done`` are their manifest rows."""
 
     def __init__(self, out: str, roll_bytes: int):
-        self.fs, self.root = fs.FileSystem.from_uri(out)
+        self.fs, self.root = _store(out)
         self.fs.create_dir(f"{self.root}/_temporary", recursive=True)
         self.roll_bytes, self.shard, self.seq, self.file, self.done = roll_bytes, None, 0, None, []
 
@@ -107,21 +123,20 @@ def _schema(ddl: str) -> pa.Schema:
 
 def _write_shards(out: str, roll_bytes: int):
     def run(batches):
-        files, at, firsts, seen = _Roller(out, roll_bytes), object(), {}, set()
+        files, at, firsts, seen = _Roller(out, roll_bytes), object(), {}, Counter()
         for whole in batches:
             for batch in text_slices(whole, "html"):
                 for row in batch.to_pylist():
-                    if row["page_id"] != at:
-                        at, firsts, seen = row["page_id"], {}, set()
+                    if (row["shard"], row["page_id"]) != at:
+                        at, firsts, seen = (row["shard"], row["page_id"]), {}, Counter()
+                    page_id, digest = row["page_id"], row["digest"]
                     if row["kind"] == 0:
-                        firsts[row["digest"]] = row["first_id"]
+                        firsts[digest] = row["first_id"]
                         continue
-                    payload = (row["html"] or "").encode()
-                    digest = sha256(payload).digest()
-                    first = firsts.get(digest)
-                    revisit = first is not None and (first != at or digest in seen)
-                    seen.add(digest)
-                    files.write(row["shard"], at, page_record(at, row["url"], payload, first, revisit))
+                    first, k = firsts.get(digest), seen[digest]
+                    revisit = first is not None and (first != page_id or k > 0)
+                    seen[digest] += 1
+                    files.write(row["shard"], page_id, page_record(page_id, row["url"], (row["html"] or "").encode(), digest, k, first, revisit))
         files.close()
         if files.done:
             yield pa.RecordBatch.from_pylist(files.done, _schema(MANIFEST))
@@ -131,7 +146,7 @@ def _write_shards(out: str, roll_bytes: int):
 
 def _commit(out: str):
     def run(batches):
-        store, root = fs.FileSystem.from_uri(out)
+        store, root = _store(out)
         for batch in batches:
             for row in batch.to_pylist():
                 source, target = f"{root}/{row['temporary']}", f"{root}/{row['name']}"
@@ -144,23 +159,44 @@ def _commit(out: str):
     return run
 
 
-def _shard_of(sizes: DataFrame, shard_bytes: int):
-    """A column that numbers ranges of page_id with about ``shard_bytes`` of payload, and how many there are."""
-    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    if low is None:
-        return F.lit(0), 1
-    n_bins = min(MOST_BINS, max(LEAST_BINS, 4 * -(-total // shard_bytes)))
-    width = -(-(high - low + 1) // n_bins)
-    place = F.floor((F.col("page_id").cast("decimal(38,0)") - F.lit(low)) / F.lit(width)).cast("int")
-    bins = {r.b: r.s for r in sizes.groupBy(place.alias("b")).agg(F.sum("size").alias("s")).collect()}
-    shards, shard, held = [], 0, 0
-    for b in range(n_bins):
-        if held >= shard_bytes:
-            shard, held = shard + 1, 0
-        held += bins.get(b, 0)
-        shards.append(str(shard))
-    # one literal that is split once, not an expression of many literals
-    return F.coalesce(F.get(F.split(F.lit(",".join(shards)), ","), place).cast("int"), F.lit(0)), shard + 1
+def _place(page_id: Column, digest: Column) -> tuple[Column, Column]:
+    """Two longs whose order is that of shards: by id, null first, then by the begin of the digest."""
+    near = F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("long")
+    return F.coalesce(page_id, F.lit(-(1 << 63))).alias("id"), near.alias("near")
+
+
+def _begins(sizes: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
+    """Where each shard begins, in order: a pair of longs for ``shard_bytes`` of payload.
+
+    The running total is exact: totals of ranges first, one number each, then sums within each range.
+    """
+    each = sizes.groupBy("id", "near").agg(F.sum("weight").alias("weight"))
+    ranged = written(each.repartitionByRange("id", "near").withColumn("range", F.spark_partition_id()), "ranges")
+    before = F.sum("weight").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    totals = ranged.groupBy("range").agg(F.sum("weight").alias("weight"), F.min(F.struct("id", "near")).alias("first"))
+    starts = totals.select("range", F.coalesce(before, F.lit(0)).alias("start"))  # a row for each range
+    own = Window.partitionBy("range").orderBy("id", "near").rowsBetween(Window.unboundedPreceding, -1)
+    running = ranged.join(F.broadcast(starts), "range").withColumn("total", F.col("start") + F.coalesce(F.sum("weight").over(own), F.lit(0)))
+    shards = running.groupBy(F.floor(F.col("total") / shard_bytes).alias("shard")).agg(F.min(F.struct("id", "near")).alias("b"))
+    begins = [(r.b.id, r.b.near) for r in shards.orderBy("shard").collect()]
+    drop_written(ranged)
+    return begins
+
+
+def _shard_of(begins: list[tuple[int, int]]):
+    """A function of two long columns: the number of the shard, by its begin."""
+    ids, nears = (np.array(x, np.int64) for x in (zip(*begins, strict=True) if begins else ((), ())))
+
+    @F.arrow_udf(IntegerType())
+    def shard(id_: pa.Array, near: pa.Array) -> pa.Array:
+        own, rest = (x.to_numpy(zero_copy_only=False) for x in (id_, near))
+        low, high = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        out = low - 1
+        for i in np.flatnonzero(high > low):  # an id that shards begin within
+            out[i] = low[i] + np.searchsorted(nears[low[i] : high[i]], rest[i], "right") - 1
+        return pa.array(np.maximum(out, 0), pa.int32())
+
+    return shard
 
 
 def write_archives(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -169,24 +205,27 @@ def write_archives(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, r
     The payload is the html in UTF-8; null is empty. Of records with equal payloads of 100 bytes or more,
     that with the smallest page_id is a response and the others revisit it (of repeats of that very row, all
     but one). A row without an id revisits an equal page that has one, and else is a response.
-    Files and manifest depend on the pages alone. No pages give no files.
+    Files and manifest depend on the pages alone. No pages give no files. Extra columns are not read.
+
+    ``out`` may be a path of any file system that pyarrow knows, by Hadoop's name too.
     """
-    html, page_id = F.coalesce(F.col("html"), F.lit("")), F.col("page_id").cast("long")
-    sizes = written(
-        pages.select(page_id.alias("page_id"), F.octet_length(html).alias("size"), F.unhex(F.sha2(html, 256)).alias("digest")),
-        "payloads",
-    )
+    html, page_id = F.coalesce(F.col("html").cast("string"), F.lit("")), F.col("page_id").cast("long")
+    digest = F.unhex(F.sha2(html, 256))
+    sizes = written(pages.select(page_id.alias("page_id"), F.octet_length(html).alias("size"), digest.alias("digest")), "payloads")
     large = sizes.where(F.col("size") >= LEAST_REVISIT)
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL")
     roles = large.join(firsts, "digest").select("page_id", "digest", "first_id").distinct()
-    shard, n = _shard_of(sizes, shard_bytes)
+    placed = sizes.select(*_place(F.col("page_id"), F.col("digest")), (F.col("size") + RECORD_BYTES).alias("weight"))
+    begins = _begins(placed, shard_bytes)
     null = lambda kind: F.lit(None).cast(kind)
-    rows = pages.select(page_id.alias("page_id"), F.lit(1).alias("kind"), F.col("url"), F.col("html"), null("binary").alias("digest"), null("long").alias("first_id"))
+    rows = pages.select(page_id.alias("page_id"), F.lit(1).alias("kind"), F.col("url").cast("string").alias("url"), html.alias("html"), digest.alias("digest"), null("long").alias("first_id"))
     marks = roles.select("page_id", F.lit(0).alias("kind"), null("string").alias("url"), null("string").alias("html"), "digest", "first_id")
-    dealt = rows.unionByName(marks).withColumn("shard", shard).repartitionById(n, F.col("shard"))
-    ordered = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "html")
+    shard = _shard_of(begins)(*_place(F.col("page_id"), F.col("digest")))
+    dealt = rows.unionByName(marks).withColumn("shard", shard).repartitionById(max(1, len(begins)), F.col("shard"))
+    ordered = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "digest")
     done = written(ordered.mapInArrow(_write_shards(out, roll_bytes), MANIFEST), "manifest")
-    done.mapInArrow(_commit(out), MANIFEST).drop("temporary").coalesce(1).write.json(f"{out}/_manifest")
+    done.mapInArrow(_commit(out), MANIFEST).drop("temporary").write.json(f"{out}/_manifest")
+    drop_written(sizes)
     return done.drop("temporary")
 
 
@@ -203,8 +242,8 @@ def records(stream) -> object:
 
 
 def _page_of(uri: str | None) -> int | None:
-    number = (uri or "").removeprefix("<urn:x-page:").removesuffix(">")
-    return int(number) if number and number != "None" else None
+    number = (uri or "").removeprefix("<urn:x-page:").partition(":")[0]
+    return int(number) if number else None
 
 
 def _read(batches):

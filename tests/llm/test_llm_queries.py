@@ -1,5 +1,8 @@
 """The numbered queries against their SQL, and all operators on odd and on empty tables."""
 
+import gzip
+import io
+
 import pytest
 from helpers import rows_of, sql_rows
 from helpers_llm import DOCS, FOLDER, odd_documents
@@ -81,3 +84,23 @@ def test_odd_pages(spark):
     assert sorted((r.page_id or 0, r.blocked, r.entry) for r in flags.collect()) == [(0, False, None), (1, False, None), (2, False, None), (2, False, None), (3, True, "a.b")]
     assert url_lists.flag_captures(captures, entries.limit(0)).where("blocked").isEmpty()
     assert url_lists.flag_captures(captures.limit(0), entries).isEmpty()
+
+
+@pytest.mark.parametrize("ids", ["far apart", "one id", "no id"])
+def test_no_shard_is_large(spark, ids):
+    """An id far off, one id for all and no ids at all give shards of the asked size, and records with ids of their own."""
+    id_of = {"far apart": "CASE WHEN id = 7 THEN 4611686018427387904 ELSE id END", "one id": "5L", "no id": "CAST(NULL AS LONG)"}[ids]
+    pages = spark.range(2000).selectExpr(f"{id_of} AS page_id", "concat('u', id) AS url", "concat(repeat('x', 500), id DIV 2) AS html", "'s' AS shard", "1 AS kind", "'d' AS digest")
+    out = scratch_path(spark, "test-warc")
+    manifest = warc.write_archives(pages, out, shard_bytes=100_000).collect()
+    per_shard = {}
+    for r in manifest:
+        per_shard[r.shard] = per_shard.get(r.shard, 0) + r.records
+    assert sum(per_shard.values()) == 2000 and len(per_shard) >= 20 and max(per_shard.values()) <= 110
+    got = warc.read_archives(spark, out).collect()
+    assert len(got) == 2000 and sum(r.record_type == "revisit" for r in got) == (0 if ids == "no id" else 1000)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(out).collect()
+    names = [h["warc-record-id"] for f in files for h, _ in warc.records(gzip.GzipFile(fileobj=io.BytesIO(f.content))) if h["warc-type"] != "warcinfo"]
+    assert len(set(names)) == 2000
+    refers = {h["warc-refers-to"] for f in files for h, _ in warc.records(gzip.GzipFile(fileobj=io.BytesIO(f.content))) if h["warc-type"] == "revisit"}
+    assert refers <= set(names)
