@@ -36,8 +36,10 @@ PEM = (
 #: What does not tell two private keys apart: the END line, blanks and escaped line ends.
 _PEM_FRAME = r"-----END[\x00-\x7F]*$|\\[nr]|\s+"
 BASE = ("assign", "access", "hex")
-#: Owners from which on a value counts as widely copied.
-COMMON_OWNERS = 3
+#: Owners, and repositories, from which on a value counts as widely copied.
+COMMON_OWNERS, COMMON_REPOS = 3, 6
+#: Parts that the uses of each value are dealt to, as one value may be in a third of all rows.
+PARTS = 16
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value_start:int,value:string>>"
 _BLOCK = 512
@@ -104,6 +106,13 @@ def _looks_random(value: Column) -> Column:
     return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~F.lower(value).rlike("example|sample|dummy|placeholder|changeme|xxxx")
 
 
+def _candidates(text: Column) -> Column:
+    """The spans of a text, with a hash of each value and whether it looks live in place of the value: values are not stored."""
+    return F.transform(spans(text), lambda s: F.struct(
+        s["start"], s["kind"], s["end"], s["value_start"], F.sha2(s["value"], 256).alias("value_hash"), _looks_live(s["value"], s["kind"]).alias("live")
+    ))
+
+
 def ownership(uses: DataFrame) -> DataFrame:
     """``(value_hash, owner, repo)`` to ``value_hash, n_owners, n_repos, n_uses``. Combined before each shuffle,
     so a value in a third of all rows arrives as few rows; null is an owner of its own."""
@@ -114,13 +123,18 @@ def ownership(uses: DataFrame) -> DataFrame:
     )
 
 
-def judged(found: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
-    """``(rid, owner, repo, spans)`` to one row per candidate: ``rid, span, n_owners, common, live``."""
-    uses = found.select("rid", "owner", "repo", F.explode("spans").alias("span")).withColumn("value_hash", F.sha2("span.value", 256))
-    common = F.col("n_owners") >= common_owners
-    return uses.join(ownership(uses), "value_hash").select(
-        "rid", "span", "n_owners", common.alias("common"), (~common & _looks_live(F.col("span.value"), F.col("span.kind"))).alias("live")
-    )
+def judged(found: DataFrame, common_owners: int = COMMON_OWNERS, common_repos: int = COMMON_REPOS) -> DataFrame:
+    """``(rid, owner, repo, spans)`` to one row per candidate: ``rid, span, common, live``.
+
+    A value of as many owners or repositories is widely copied, and not live. Only such values are joined with their uses,
+    and each use meets one of ``PARTS`` copies.
+    """
+    uses = found.select("rid", "owner", "repo", F.explode("spans").alias("span")).withColumn("value_hash", F.col("span.value_hash"))
+    copied = ownership(uses).where((F.col("n_owners") >= common_owners) | (F.col("n_repos") >= common_repos))
+    copied = copied.select("value_hash", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(True).alias("copied"))
+    dealt = uses.withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(PARTS)).cast("int"))
+    common = F.coalesce("copied", F.lit(False))
+    return dealt.join(copied, ["value_hash", "part"], "left").select("rid", "span", common.alias("common"), (~common & F.col("span.live")).alias("live"))
 
 
 def _joined(found: Column) -> Column:
@@ -128,40 +142,56 @@ def _joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo: Column | None = None, common_owners: int = COMMON_OWNERS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``found`` (its candidates in whole), and how many of them are
-    widely copied (``n_common``) and live-looking (``n_live``).
+def _repo(docs: DataFrame, owner: Column, repo: Column | None) -> Column:
+    """The repository: as asked, or else owner and language, or the owner where there is no language."""
+    return repo if repo is not None else F.concat_ws("/", owner, F.col("lang")) if "lang" in docs.columns else owner
+
+
+def scan(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    owner_col: str = "source",
+    repo: Column | None = None,
+    common_owners: int = COMMON_OWNERS,
+    common_repos: int = COMMON_REPOS,
+) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``found`` (its candidates: places, kind, a hash of the value), and how
+    many of them are widely copied (``n_common``) and live-looking (``n_live``).
 
     ``repo`` defaults to owner and language. A null text has no candidates; null owners are one owner; null ids
     and repeated rows are given as they come.
     """
-    repo = F.concat_ws("/", owner_col, "lang") if repo is None else repo
+    owner = F.col(owner_col)
     found = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).alias("owner"), repo.alias("repo"), spans(F.coalesce(F.col(text_col), F.lit(""))).alias("spans")
+        F.col(id_col).cast("long").alias("doc_id"), owner.alias("owner"), _repo(docs, owner, repo).alias("repo"), _candidates(F.coalesce(F.col(text_col), F.lit(""))).alias("spans")
     ).withColumn("rid", F.monotonically_increasing_id())
     found = written(found, "spans")
-    counts = judged(found, common_owners).groupBy("rid").agg(F.count_if("common").alias("n_common"), F.count_if("live").alias("n_live"))
+    counts = judged(found, common_owners, common_repos).groupBy("rid").agg(F.count_if("common").alias("n_common"), F.count_if("live").alias("n_live"))
     zero = F.lit(0).cast("long")
     return found.join(counts, "rid", "left").select(
         "doc_id", F.col("spans").alias("found"), F.coalesce("n_common", zero).alias("n_common"), F.coalesce("n_live", zero).alias("n_live")
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", common_owners: int = COMMON_OWNERS) -> DataFrame:
+def redact(
+    docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo: Column | None = None, common_owners: int = COMMON_OWNERS, common_repos: int = COMMON_REPOS
+) -> DataFrame:
     """``docs`` with every secret's value replaced by ``<SECRET>``, or by ``<EXAMPLE>`` if it is widely copied.
 
-    All rows and columns stay; ``n_chars`` follows the text. Rows without a candidate pass untouched.
+    All rows and columns stay; ``n_chars`` follows the text. Rows without a candidate pass untouched. ``repo`` is a column of
+    ``docs``, as in ``scan``.
     """
     cols = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row")).withColumn("spans", spans(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))))
-    plain = rows.where(F.size("spans") == 0).select("row.*")
-    found = written(
-        rows.where(F.size("spans") > 0).select(
-            "row", "spans", F.col(f"row.`{owner_col}`").alias("owner"), F.concat_ws("/", f"row.`{owner_col}`", "row.lang").alias("repo")
-        ).withColumn("rid", F.monotonically_increasing_id()),
-        "found",
+    marked = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"),
+        F.col(f"`{owner_col}`").alias("owner"),
+        _repo(docs, F.col(f"`{owner_col}`"), repo).alias("repo"),
+        _candidates(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("spans"),
     )
-    marks = judged(found, common_owners).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("span.value_start", "span.end", "common"))).alias("marks"))
+    plain = marked.where(F.size("spans") == 0).select("row.*")
+    found = written(marked.where(F.size("spans") > 0).withColumn("rid", F.monotonically_increasing_id()), "found")
+    marks = judged(found, common_owners, common_repos).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("span.value_start", "span.end", "common"))).alias("marks"))
     text = F.col(f"row.`{text_col}`")
     step = lambda a, s: F.when((s["end"] <= a["at"]) | (s["value_start"] == s["end"]), a).otherwise(
         F.struct(
@@ -207,11 +237,11 @@ def op5_oracle() -> str:
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
     f AS ({" UNION ALL ".join(parts)}),
-    o AS (SELECT v, count(DISTINCT source) AS n FROM f JOIN d USING (rid) GROUP BY v),
+    o AS (SELECT v, count(DISTINCT source) >= {COMMON_OWNERS} OR count(DISTINCT concat_ws('/', source, lang)) >= {COMMON_REPOS} AS c FROM f JOIN d USING (rid) GROUP BY v),
     g AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS a,
-            count(*) FILTER (n >= {COMMON_OWNERS}) AS n_common,
-            count(*) FILTER (n < {COMMON_OWNERS} AND length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+            count(*) FILTER (c) AS n_common,
+            count(*) FILTER (NOT c AND length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
                 AND NOT regexp_matches(lower(v), 'example|sample|dummy|placeholder|changeme|xxxx')) AS n_live
           FROM f JOIN o USING (v) GROUP BY rid)
     SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,

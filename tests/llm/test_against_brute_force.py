@@ -194,6 +194,30 @@ def test_common_and_live_secrets(spark):
     assert text == {0: "x token=<EXAMPLE> y", 1: "x token=<EXAMPLE> y", 2: "x token=<EXAMPLE> y", 9: "token=<SECRET> token=<SECRET>", 10: "no"}
 
 
+def test_a_value_in_a_third_of_the_rows_and_null_owners(spark):
+    """Counts by owners and repositories against plain ones; values are in no stored table."""
+    rng, rows = np.random.default_rng(2), []
+    values = [f"A1b2C3d4E5f6G7h8J9{k:02d}" for k in range(12)]
+    for i in range(300):
+        value = values[0] if i % 3 == 0 else values[int(rng.integers(1, 12))]
+        owner = None if i % 7 == 0 else f"s{rng.integers(0, 2 if value < values[6] else 5)}"
+        rows.append((i if i % 5 else None, f"token={value};", f"p{rng.integers(0, 4)}", owner))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string, source string")
+    owners, repos = {v: set() for v in values}, {v: set() for v in values}
+    for _, t, path, owner in rows:
+        owners[t[6:-1]].add(owner)
+        repos[t[6:-1]].add((owner, path))
+    common = {v: len(owners[v]) >= 3 or len(repos[v]) >= 6 for v in values}
+    assert len(set(common.values())) == 2 or all(common.values())
+    repo = F.to_json(F.struct("source", "path"))
+    got = secret_scan.scan(docs, repo=repo)
+    assert sorted((r.doc_id or -1, r.n_common, r.n_live) for r in got.collect()) == sorted((i or -1, int(common[t[6:-1]]), int(not common[t[6:-1]])) for i, t, _, _ in rows)
+    assert "value" not in got.schema["found"].dataType.elementType.names
+    masked = secret_scan.redact(docs, repo=repo).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in masked) == sorted((i or -1, "token=<EXAMPLE>;" if common[t[6:-1]] else "token=<SECRET>;") for i, t, _, _ in rows)
+    assert secret_scan.redact(docs.drop("path")).count() == 300  # without a language the owner is the repository
+
+
 def test_many_secrets_in_one_text(spark):
     text = "é " + "token=abcdef%d; " * 1200 % tuple(range(1200))
     row = secret_scan.scan(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).first()
