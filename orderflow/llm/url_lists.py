@@ -1,9 +1,10 @@
 """URL filters against dated lists: which entry was active when a page was fetched. DataFrame functions only.
 
-Dated entries add a host or a domain to a list or take it off; per entry they become validity
-intervals. A capture is looked up by its host and by each domain above it, and the interval that holds its fetch
-date decides. Captures are first reduced to their different hosts and dates, so a host with a third of
-all captures is looked up once a day.
+Dated entries add a host, a domain, or a path of a host (``a.org/news``, with a query ``a.org/news?id=1``) to a list or take it off;
+per entry they become validity intervals. A capture is looked up by its host, by each domain above it, and by each path
+above its own, and the interval that holds its fetch date decides. Captures are first reduced to their different hosts and
+dates, so a host with a third of all captures is looked up once a day. Only as many labels and steps are looked up as
+entries have, so ``com`` is no key unless a list names it; and each key meets one of several copies of an entry.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from orderflow.llm._shared import table
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)"
+_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)"
 START = "2024-01-01"
+#: Copies of each entry, so that one that a third of all captures fall under is met in as many tasks.
+PARTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -22,10 +26,25 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.$", ""), F.lit(""))
 
 
-def domains_of(host: Column) -> Column:
-    """The host and all domains above it."""
+def path_of(url: Column) -> Column:
+    """What follows the host of a URL, with its query; empty if there is none."""
+    return F.coalesce(F.regexp_extract(url, _PATH, 1), F.lit(""))
+
+
+def domains_of(host: Column, sizes: list[int] | None = None) -> Column:
+    """The host and all domains above it; only those of as many labels, if ``sizes`` are given."""
     parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
+    wanted = F.sequence(F.lit(1), F.size(parts)) if sizes is None else F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.size(parts))
+    return F.transform(wanted, lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
+
+
+def paths_of(host: Column, path: Column, sizes: list[int], queries: bool) -> Column:
+    """The host with the first steps of a path, as many as ``sizes`` say, and with the whole path if that has a query."""
+    steps = F.split(F.regexp_replace(F.regexp_replace(path, r"\?.*$", ""), "^/+|/+$", ""), "/+")
+    wanted = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: (n <= F.size(steps)) & (steps[0] != ""))
+    found = F.transform(wanted, lambda n: F.concat_ws("/", host, F.array_join(F.slice(steps, F.lit(1), n), "/")))
+    whole = F.when(F.contains(path, F.lit("?")), F.array(F.concat(host, path))).otherwise(F.array().cast("array<string>"))
+    return F.concat(found, whole) if queries else found
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -45,22 +64,40 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     )
 
 
+def _active(looked: DataFrame, keys: Column, by: list[str], intervals: DataFrame) -> DataFrame:
+    """The longest entry active for each row of ``looked`` (columns ``by`` and ``fetched_on``): ``best``."""
+    on = [*by, "fetched_on"]
+    keyed = looked.select(*on, F.pmod(F.xxhash64(*on), F.lit(PARTS)).cast("int").alias("part"), F.explode(keys).alias("pattern"))
+    copies = intervals.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    active = keyed.join(copies, ["pattern", "part"]).where("fetched_on >= valid_from AND (valid_to IS NULL OR fetched_on < valid_to)")
+    return active.groupBy(*on).agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "valid_from")).alias("best"))
+
+
 def flag_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``captures`` (``page_id, url, fetched_on``) with ``host, blocked, entry, valid_from``.
 
     ``entry`` is the longest pattern active on the day of the fetch, null if none is. Captures without a
-    host or date are never blocked; repeated rows and null ids are given as they come.
+    host or date are never blocked; repeated rows and null ids are given as they come, and other columns are not read.
+    ``entries`` are ``pattern`` (host, domain, or host and path; hosts in lower case), ``listed_on`` and ``action``.
     """
-    named = captures.select("page_id", "url", "fetched_on", host_of(F.col("url")).alias("host"))
-    looked = named.select("host", "fetched_on").where("host != '' AND fetched_on IS NOT NULL").distinct()
-    keyed = looked.select("host", "fetched_on", F.explode(domains_of(F.col("host"))).alias("pattern"))
-    active = keyed.join(validity_intervals(entries), "pattern").where(
-        "fetched_on >= valid_from AND (valid_to IS NULL OR fetched_on < valid_to)"
-    )
-    best = active.groupBy("host", "fetched_on").agg(
-        F.max(F.struct(F.length("pattern").alias("n"), "pattern", "valid_from")).alias("best")
-    )
-    return named.join(best, ["host", "fetched_on"], "left").select(
+    named = captures.select("page_id", "url", "fetched_on", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    able = named.where("host != '' AND fetched_on IS NOT NULL")
+    intervals = validity_intervals(entries).withColumn("deep", F.col("pattern").rlike("[/?]"))
+    # how many labels and steps entries have: a few numbers
+    shape = F.struct("deep", F.when(F.col("deep"), F.size(F.split(F.regexp_replace("pattern", r"\?.*$", ""), "/+")) - 1).otherwise(F.size(F.split("pattern", r"\."))).alias("size"), F.contains("pattern", F.lit("?")).alias("query"))
+    shapes = [r.shape for r in intervals.select(shape.alias("shape")).distinct().collect()]
+    labels, steps = (sorted({x.size for x in shapes if x.deep == deep and not x.query}) for deep in (False, True))
+    hosts = _active(able.select("host", "fetched_on").distinct(), domains_of(F.col("host"), labels), ["host"], intervals.where("NOT deep").drop("deep"))
+    found = named.join(hosts, ["host", "fetched_on"], "left")
+    if any(x.deep for x in shapes):
+        deep = intervals.where("deep").drop("deep")
+        # only captures of hosts that have such entries are looked up by their paths
+        of = deep.select(F.regexp_extract("pattern", "^[^/?]*", 0).alias("host")).distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        looked = able.select("host", "path", "fetched_on").distinct().withColumn("part", F.pmod(F.xxhash64("path", "fetched_on"), F.lit(PARTS)).cast("int"))
+        keys = paths_of(F.col("host"), F.col("path"), steps, any(x.query for x in shapes))
+        paths = _active(looked.join(of, ["host", "part"], "left_semi"), keys, ["host", "path"], deep).withColumnRenamed("best", "deeper")
+        found = found.join(paths, ["host", "path", "fetched_on"], "left").withColumn("best", F.greatest("best", "deeper"))
+    return found.select(
         "page_id",
         "url",
         "fetched_on",
@@ -75,11 +112,15 @@ def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("int")
 
 
-def dated_lists(hosts: DataFrame) -> DataFrame:
-    """A history of list entries for a table of hosts: hosts and domains that come, go and come back, by their hash."""
+def dated_lists(urls: DataFrame) -> DataFrame:
+    """A history of list entries for a table with ``url``: hosts, domains and paths that come, go and come back, by their hash.
+
+    Null URLs and URLs without a host give none.
+    """
     day = lambda n: F.date_add(F.lit(START).cast("date"), n)
     h, g = _number(F.col("pattern")), _number(F.concat(F.lit("d"), F.col("pattern")))
-    one = hosts.where("host != ''").select(F.col("host").alias("pattern")).distinct()
+    named = urls.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host != ''")
+    one = named.select(F.col("host").alias("pattern")).distinct()
     event = lambda test, on, action: F.when(test, F.struct(day(on).alias("listed_on"), F.lit(action).alias("action")))
     of_hosts = one.where(h % 4 == 0).select(
         "pattern",
@@ -87,18 +128,20 @@ def dated_lists(hosts: DataFrame) -> DataFrame:
     )
     above = one.select(F.substring_index("pattern", ".", -3).alias("pattern")).distinct()
     of_domains = above.where(g % 16 == 0).select("pattern", F.struct(day(g % 300).alias("listed_on"), F.lit("add").alias("action")).alias("e"))
-    return of_hosts.unionByName(of_domains).select("pattern", "e.*")
+    deep = named.select(F.explode(paths_of(F.col("host"), F.col("path"), [1], True)).alias("pattern")).distinct()
+    of_paths = deep.where(g % 3 == 0).select("pattern", F.struct(day(g % 300).alias("listed_on"), F.lit("add").alias("action")).alias("e"))
+    return of_hosts.unionByName(of_domains).unionByName(of_paths).select("pattern", "e.*")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against the list entries active on the day it was fetched.
 
-    The tables have neither fetch dates nor lists: the date follows from page_id, the lists from the pages' hosts.
+    The tables have neither fetch dates nor lists: the date follows from page_id, the lists from the pages' URLs.
     """
     pages = table(spark, sf_dir, "pages")
     fetched = F.date_add(F.lit(START).cast("date"), (F.pmod(F.col("page_id") * 37, F.lit(365))).cast("int"))
     captures = pages.select("page_id", "url", fetched.alias("fetched_on"))
-    return flag_captures(captures, dated_lists(pages.select(host_of(F.col("url")).alias("host"))))
+    return flag_captures(captures, dated_lists(pages.select("url")))
 
 
 def op9_oracle() -> str:
@@ -106,20 +149,24 @@ def op9_oracle() -> str:
     num = lambda x: f"('0x' || substr(md5({x}), 1, 6))::INT"
     return rf"""
     WITH c AS (SELECT page_id, url, DATE '{START}' + ((page_id * 37 % 365 + 365) % 365)::INT AS fetched_on,
-                      regexp_replace(lower(coalesce(regexp_extract(url, '{_HOST}', 1), '')), '\.$', '') AS host FROM pages),
+                      regexp_replace(lower(coalesce(regexp_extract(url, '{_HOST}', 1), '')), '\.$', '') AS host, coalesce(regexp_extract(url, '{_PATH}', 1), '') AS path FROM pages),
+    steps AS (SELECT DISTINCT host, path, string_split(trim(regexp_replace(path, '\?.*$', ''), '/'), '/')[1] AS step FROM c WHERE host <> ''),
+    deep AS (SELECT host, path, host || '/' || step AS pattern FROM steps WHERE step <> '' UNION ALL SELECT host, path, host || path FROM steps WHERE contains(path, '?')),
     hosts AS (SELECT DISTINCT host AS pattern, {num("host")} AS h FROM c WHERE host <> ''),
     doms AS (SELECT DISTINCT array_to_string(string_split(pattern, '.')[-3:], '.') AS pattern FROM hosts),
     e AS (SELECT pattern, DATE '{START}' + h % 200 AS listed_on, 'add' AS action FROM hosts WHERE h % 4 = 0
           UNION ALL SELECT pattern, DATE '{START}' + h % 200 + 60, 'remove' FROM hosts WHERE h % 4 = 0 AND h % 3 <> 0
           UNION ALL SELECT pattern, DATE '{START}' + h % 200 + 120, 'add' FROM hosts WHERE h % 4 = 0 AND h % 5 = 0
-          UNION ALL SELECT pattern, DATE '{START}' + {num("'d' || pattern")} % 300, 'add' FROM doms WHERE {num("'d' || pattern")} % 16 = 0),
+          UNION ALL SELECT pattern, DATE '{START}' + {num("'d' || pattern")} % 300, 'add' FROM doms WHERE {num("'d' || pattern")} % 16 = 0
+          UNION ALL SELECT DISTINCT pattern, DATE '{START}' + {num("'d' || pattern")} % 300, 'add' FROM deep WHERE {num("'d' || pattern")} % 3 = 0),
     d AS (SELECT pattern, listed_on, max(action) = 'add' AS a FROM e GROUP BY ALL),
     t AS (SELECT * FROM d QUALIFY a <> lag(a, 1, false) OVER (PARTITION BY pattern ORDER BY listed_on)),
     i AS (SELECT pattern, listed_on AS valid_from, lead(listed_on) OVER (PARTITION BY pattern ORDER BY listed_on) AS valid_to, a FROM t),
-    k AS (SELECT DISTINCT host, fetched_on, unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
-            lambda n: array_to_string(string_split(host, '.')[n:], '.'))) AS pattern FROM c),
-    b AS (SELECT host, fetched_on, max({{'n': length(pattern), 'p': pattern, 'f': valid_from}}) AS best
+    k AS (SELECT DISTINCT host, path, fetched_on, unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
+            lambda n: array_to_string(string_split(host, '.')[n:], '.'))) AS pattern FROM c
+          UNION ALL SELECT DISTINCT host, path, fetched_on, pattern FROM c JOIN deep USING (host, path)),
+    b AS (SELECT host, path, fetched_on, max({{'n': length(pattern), 'p': pattern, 'f': valid_from}}) AS best
           FROM k JOIN i USING (pattern) WHERE a AND fetched_on >= valid_from AND (valid_to IS NULL OR fetched_on < valid_to) GROUP BY ALL)
     SELECT page_id, url, fetched_on, host, best IS NOT NULL AS blocked, best.p AS entry, best.f AS valid_from
-    FROM c LEFT JOIN b USING (host, fetched_on)
+    FROM c LEFT JOIN b USING (host, path, fetched_on)
     """

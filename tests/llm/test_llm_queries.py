@@ -1,8 +1,11 @@
 """The numbered queries against their SQL, and all operators on odd and on empty tables."""
 
+import datetime
 import gzip
 import io
+import re
 
+import numpy as np
 import pytest
 from helpers import rows_of, sql_rows
 from helpers_llm import DOCS, FOLDER, odd_documents
@@ -104,3 +107,33 @@ def test_no_shard_is_large(spark, ids):
     assert len(set(names)) == 2000
     refers = {h["warc-refers-to"] for f in files for h, _ in warc.records(gzip.GzipFile(fileobj=io.BytesIO(f.content))) if h["warc-type"] == "revisit"}
     assert refers <= set(names)
+
+
+def test_list_entries_of_hosts_domains_and_paths(spark):
+    """Against a plain search, with a top-level domain, a host and a path that a third of all captures fall under; and odd rows."""
+    rng, day = np.random.default_rng(4), lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
+    hosts = ["a.example.com", "b.example.com", "example.com", "x.org", "a.b.c.d.org", "com"]
+    urls = [f"https://{hosts[0 if k % 3 == 0 else rng.integers(0, 6)]}/{'news' if k % 3 == 0 else 'n%d' % rng.integers(0, 3)}/{rng.integers(0, 4)}{'?q=%d' % rng.integers(0, 3) if k % 2 else ''}#f" for k in range(400)]
+    urls += [None, "", "no url", "http://", "HTTP://U@A.EXAMPLE.COM.:80", "ftp://x.org//news//1/", "http://x.org?q=1", "http://x.org/?q=1"]
+    rows = [(k if k % 9 else None, u, day(int(rng.integers(0, 60))) if k % 11 else None) for k, u in enumerate(urls)]
+    entries = [("com", day(40), "add"), ("a.example.com", day(10), "add"), ("a.example.com", day(20), "remove"), ("a.example.com/news", day(5), "add"), ("x.org/n1", day(0), "add"), ("x.org/n1/2?q=1", day(30), "add")]
+    entries += [("x.org/news/1", day(0), "add"), ("d.org", day(1), "add"), ("x.org?q=1", day(0), "add"), (None, day(0), "add"), ("x.org", None, "add"), ("x.org", day(0), "other")]
+    spans = [(p, a, next((d for q, d, act in entries if q == p and act == "remove"), None)) for p, a, act in entries if p and a and act == "add"]
+
+    def plain(url, on):
+        m = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)[^/?#]*([^#]*)", url or "")
+        if not m or on is None:
+            return None
+        host, path = m[1].lower().removesuffix("."), m[2]
+        keys = {".".join(host.split(".")[k:]) for k in range(host.count(".") + 1)}
+        steps = [s for s in path.split("?")[0].split("/") if s]
+        keys |= {"/".join([host, *steps[: k + 1]]) for k in range(len(steps))} | ({host + path} if "?" in path else set())
+        return max((p for p, a, b in spans if p in keys and a <= on and (b is None or on < b)), key=lambda p: (len(p), p), default=None)
+
+    captures = spark.createDataFrame([(*r, "host", "best", "path", 1) for r in rows], "page_id long, url string, fetched_on date, host string, best string, path string, part int")
+    given = spark.createDataFrame([(*e, "x") for e in entries], "pattern string, listed_on date, action string, deep string")
+    got = url_lists.flag_captures(captures, given).collect()
+    key = lambda r: (r[0] or -1, r[1] or "", str(r[2]), r[3] or "")
+    assert sorted(((r.page_id, r.url, r.fetched_on, r.entry) for r in got), key=key) == sorted(((i, u, on, plain(u, on)) for i, u, on in rows), key=key)
+    assert all(r.blocked == (r.entry is not None) for r in got) and len({r.entry for r in got}) >= 7
+    assert url_lists.dated_lists(captures.limit(0)).count() == 0 and url_lists.dated_lists(captures).where("pattern IS NULL").isEmpty()
