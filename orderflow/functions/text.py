@@ -111,8 +111,10 @@ def running_total(numbers: Column) -> Column:
 
 
 def uniform(key: Column, salt: str, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on the key, the salt and the seed only, not on partitions or order."""
-    return F.pmod(F.xxhash64(key, F.lit(salt), F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
+    """A number in [0, 1) that depends on the key, the salt and the seed only, not on partitions or order: the first 32 bits
+    of the MD5 of ``key|salt|seed``."""
+    digest = F.md5(F.concat_ws("|", key.cast("string"), F.lit(salt), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def one_of(options: list[str], u: Column) -> Column:
@@ -166,7 +168,7 @@ def with_noise(rows: DataFrame, col: str, key: Column, seed: int = 0) -> DataFra
     own rate. One projection per step, as each step names its input several times."""
     s, u = F.col(col), lambda salt: uniform(key, salt, seed)
     mixed = F.array_join(
-        F.transform(F.split(s, ""), lambda c, i: F.when(uniform(F.concat(key, i), "mixed", seed) < 0.2, F.upper(c)).otherwise(F.lower(c))), ""
+        F.transform(F.split(s, ""), lambda c, i: F.when(uniform(F.concat(key.cast("string"), i.cast("string")), "mixed", seed) < 0.2, F.upper(c)).otherwise(F.lower(c))), ""
     )
     kind = u("case kind")
     blanks = lambda salt: F.repeat(F.lit(" "), F.floor(u(salt) * 3).cast("int"))

@@ -133,7 +133,37 @@ def great_circle(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "stations").select("uic_code", "latitude", F.round(geo.great_circle_km(a, b, a * 0.9, b + 1.5), 6).alias("km"))
 
 
-@_query()
+def _u(key: str, salt: str, seed: int = 0) -> str:
+    """A draw in SQL, as ``text.uniform``."""
+    return f"(('0x' || substr(md5(concat_ws('|', {key}, '{salt}', '{seed}')), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def _at(u: str, size: str, inner: int) -> str:
+    return f"(floor({u} * greatest({size} - {inner}, 1))::BIGINT + 2)"
+
+
+_CUT = "concat(substr({s}, 1, {i} - 1), substr({s}, {i} + 1))"
+_SWAP = "concat(substr({s}, 1, {i} - 1), substr({s}, {i} + 1, 1), substr({s}, {i}, 1), substr({s}, {i} + 2))"
+
+
+def _option(options, u: str) -> str:
+    return "([" + ", ".join("'" + x.replace("'", "''") + "'" for x in options) + f"])[floor({u} * {len(options)})::INT + 1]"
+
+
+def _mild_sql(name: str, key: str, seed: int = 0) -> str:
+    s, u = f"strip_accents({name})", _u(key, "typo place", seed)
+    dropped, swapped = _CUT.format(s=s, i=_at(u, f"length({s})", 2)), _SWAP.format(s=s, i=_at(u, f"length({s})", 3))
+    return f"CASE WHEN length({s}) < 4 THEN {s} WHEN {_u(key, 'typo kind', seed)} < 0.5 THEN {dropped} ELSE {swapped} END"
+
+
+def _controlled_sql(name: str, key: str, seed: int = 0) -> str:
+    i, kind = _at(_u(key, "slip place", seed), f"length({name})", 2), _u(key, "slip kind", seed)
+    vowel = _option("aeiouy", _u(key, "slip vowel", seed))
+    return f"""CASE WHEN length({name}) < 4 OR {_u(key, "slip", seed)} >= 0.35 THEN {name} WHEN {kind} < 0.25 THEN {_SWAP.format(s=name, i=i)} WHEN {kind} < 0.5 THEN {_CUT.format(s=name, i=i)}
+        WHEN {kind} < 0.75 THEN concat(substr({name}, 1, {i}), substr({name}, {i})) ELSE concat(substr({name}, 1, {i} - 1), {vowel}, substr({name}, {i} + 1)) END"""
+
+
+@_query(f"SELECT p_partkey, p_name, {_mild_sql('p_name', 'p_partkey')} AS mild, {_controlled_sql('p_name', 'p_partkey')} AS controlled FROM part")
 def typo_names(spark: SparkSession, d: str) -> DataFrame:
     name, key = F.col("p_name"), F.col("p_partkey")
     return view(spark, d, "part").select("p_partkey", "p_name", text.mild_typo(name, key).alias("mild"), text.controlled_typo(name, key).alias("controlled"))
@@ -563,21 +593,69 @@ def failure_reasons(spark: SparkSession, d: str) -> DataFrame:
 # ---- generation, files and streams ----------------------------------------------------------------------------------
 
 
-def _city_list(spark: SparkSession, d: str, most: int = 10_000) -> list[str]:
-    rows = view(spark, d, "cities").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"generation takes {most} cities at most")
-    return [r.city for r in rows]
+_DRAWN_SQL = f"""names AS (SELECT city, row_number() OVER (ORDER BY city) - 1 AS place FROM {{cities}}), size AS (SELECT count(*) AS n FROM names),
+    draw AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, n, floor({_u("o_orderkey", "first", 42)} * n)::BIGINT AS a, floor({_u("o_orderkey", "second", 42)} * (n - 1))::BIGINT AS b,
+        floor({_u("o_orderkey", "third", 42)} * (n - 2))::BIGINT AS c FROM orders, size),
+    drawn AS (SELECT id, x.city AS dep, y.city AS dest, z.city AS other FROM draw JOIN names x ON x.place = a JOIN names y ON y.place = (a + 1 + b) % n
+        JOIN names z ON z.place = (a + 1 + CASE WHEN c < b THEN c ELSE c + 1 END) % n)"""
 
 
-@_query()
+def _filled_sql(template: str, **values: str) -> str:
+    for name, value in values.items():
+        template = f"replace({template}, '<{name}>', {value})"
+    return template
+
+
+def _slip_sql(side: str) -> str:
+    slips = f"{_u('id', 'slips', 42)} < 0.25 AND {_u('id', f'slip {side}', 42)} < 0.5"
+    return f"CASE WHEN {slips} THEN {_mild_sql(side, f'concat(id, {chr(39)}{side}{chr(39)}, id)', 42)} ELSE {side} END"
+
+
+_KIND_SQL, _TYPED = _u("id", "kind", 42), {x: _slip_sql(x) for x in ("dep", "dest")}
+# braces would name views
+_PICK = lambda options, salt: _option([x.replace("{", "<").replace("}", ">") for x in options], _u("id", salt, 42))
+_LABELLED_SQL = f"""WITH {_DRAWN_SQL}, typed AS (SELECT id, dep, dest, other, {_KIND_SQL} AS kind, {_TYPED["dep"]} AS dep2, {_TYPED["dest"]} AS dest2 FROM drawn)
+    SELECT id AS sentence_id, CASE WHEN kind < 0.55 THEN {_filled_sql(_PICK(generate.VALID, "valid"), dep="dep2", dest="dest2")} WHEN kind < 0.75 THEN {_PICK(generate.TRASH, "trash")}
+        WHEN kind < 0.90 THEN {_filled_sql(f"CASE WHEN {_u('id', 'half', 42)} < 0.5 THEN {_PICK(generate.GOAL_ONLY, 'goal')} ELSE {_PICK(generate.ORIGIN_ONLY, 'origin')} END", dep="dep", dest="dest")}
+        ELSE {_filled_sql(_PICK(generate.AMBIGUOUS, "ambiguous"), dep="dep", dest="dest", other="other")} END AS sentence,
+      CASE WHEN kind < 0.55 THEN dep END AS expected_dep, CASE WHEN kind < 0.55 THEN dest END AS expected_dest, (kind < 0.55)::INT AS expected_valid FROM typed"""
+
+
+def _noise_sql() -> str:
+    """The steps of ``text.with_noise``, one query over another."""
+    u = lambda salt: _u("order_id", salt, 42)
+    mixed = "array_to_string(list_transform(string_split(s, ''), lambda c, i: CASE WHEN %s < 0.2 THEN upper(c) ELSE lower(c) END), '')" % _u("concat(order_id, i - 1)", "mixed", 42)
+    title = r"array_to_string(list_transform(regexp_extract_all(s, '\p{L}+|\P{L}+'), lambda w: concat(upper(substr(w, 1, 1)), lower(substr(w, 2)))), '')"
+    kind, blanks = u("case kind"), lambda salt: f"repeat(' ', floor({u(salt)} * 3)::INT)"
+    steps = (
+        ("accents", 0.25, "strip_accents(s)"),
+        ("case", 0.30, f"CASE WHEN {kind} < 0.25 THEN lower(s) WHEN {kind} < 0.5 THEN upper(s) WHEN {kind} < 0.75 THEN {title} ELSE {mixed} END"),
+        ("apostrophes", 0.20, "replace(replace(s, '’', ' '), chr(39), ' ')"),
+        ("blanks", 0.20, rf"concat({blanks('before')}, trim(regexp_replace(s, '\s+', ' ', 'g')), {blanks('after')})"),
+        ("end", 0.25, f"concat(s, {_option(('', '.', '!!', ' ?', ' ...', '!!!'), u('end kind'))})"),
+    )
+    out = "told"
+    for salt, rate, changed in steps:
+        out = f"(SELECT order_id, CASE WHEN {u(salt)} < {rate} THEN {changed} ELSE s END AS s FROM {out})"
+    return out
+
+
+_SLIPPED = {x: _controlled_sql(x, f"concat(id, '{x}', id)", 42) for x in ("dep", "dest", "other")}
+_NOISY_SQL = f"""WITH {_DRAWN_SQL}, slipped AS (SELECT id, dep, {", ".join(f"{v} AS {k}2" for k, v in _SLIPPED.items())} FROM drawn),
+    told AS (SELECT concat('S', lpad(id, greatest(5, length(id))::INT, '0')) AS order_id,
+        CASE WHEN {_u("id", "invalid", 42)} < 0.25 THEN {_filled_sql(_PICK(generate.NO_ORDERS, "no order"), dep="dep")}
+        ELSE {_filled_sql(_PICK(generate.ORDERS, "order"), dep="dep2", dest="dest2", other="other2")} END AS s FROM slipped)
+    SELECT order_id, s AS sentence FROM {_noise_sql()}"""
+
+
+@_query(_LABELLED_SQL, "cities")
 def labelled_dataset(spark: SparkSession, d: str) -> DataFrame:
-    return generate.labelled_orders(view(spark, d, "orders").select(F.col("o_orderkey").alias("id")), _city_list(spark, d))
+    return generate.labelled_orders(view(spark, d, "orders").select(F.col("o_orderkey").alias("id")), view(spark, d, "cities"))
 
 
-@_query()
+@_query(_NOISY_SQL, "cities")
 def noisy_dataset(spark: SparkSession, d: str) -> DataFrame:
-    return generate.noisy_orders(view(spark, d, "orders").select(F.col("o_orderkey").alias("id")), _city_list(spark, d))
+    return generate.noisy_orders(view(spark, d, "orders").select(F.col("o_orderkey").alias("id")), view(spark, d, "cities"))
 
 
 @_query("SELECT order_id AS sentence_id, sentence, expected_dep, expected_dest, expected_valid FROM {labelled}", "labelled")

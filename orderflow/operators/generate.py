@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderflow.functions.text import controlled_typo, mild_typo, one_of, uniform, with_noise
+from orderflow.sources.scratch import stored
 
 # Wordings.
 VALID = (
@@ -62,32 +63,41 @@ def _filled(template: Column, **values: Column) -> Column:
     return template
 
 
-def _three(cities: list[str], key: Column, seed: int) -> tuple[Column, Column, Column]:
-    """Three different cities: a start, and two steps from it in a list without the start."""
-    n, names = len(cities), F.array(*map(F.lit, cities))
-    place = lambda u, size: F.floor(u * size).cast("int")
-    a = place(uniform(key, "first", seed), n)
-    b = place(uniform(key, "second", seed), n - 1)
-    c = place(uniform(key, "third", seed), n - 2)
-    second = (a + 1 + b) % n
-    third = (a + 1 + F.when(c < b, c).otherwise(c + 1)) % n
-    return tuple(F.get(names, i) for i in (a, second, third))
+def numbered_names(cities: DataFrame) -> DataFrame:
+    """Different ``city`` values with their ``place`` in the order of names, from 0; each range of names is numbered for itself."""
+    ranged = stored(cities.select("city").where("city IS NOT NULL").distinct().repartitionByRange("city").withColumn("range", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"), F.min("city").alias("first"))
+    starts = sizes.select("range", F.coalesce(before, F.lit(0)).alias("start"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("range").orderBy("city"))
+    return ranged.join(F.broadcast(starts), "range").select((F.col("start") + own - 1).alias("place"), "city")
 
 
-def _checked(cities: list[str], least: int) -> list[str]:
-    if len(set(cities)) < least:
+def _with_cities(ids: DataFrame, cities: DataFrame, least: int, seed: int) -> DataFrame:
+    """``id`` rows with three different cities ``dep, dest, other``: a start, and two steps from it in a list without the start."""
+    names = stored(numbered_names(cities))
+    n = names.count()
+    if n < least:
         raise ValueError(f"at least {least} cities are needed")
-    return sorted(set(cities))
+    place = lambda salt, size: F.floor(uniform(F.col("id"), salt, seed) * size)
+    drawn = ids.select("id", place("first", n).alias("a"), place("second", n - 1).alias("b"), place("third", n - 2).alias("c"))
+    a, b, c = (F.col(x) for x in "abc")
+    at = {"dep": a, "dest": (a + 1 + b) % n, "other": (a + 1 + F.when(c < b, c).otherwise(c + 1)) % n}
+    rows = drawn.select("id", *(x.cast("long").alias(f"{k}_place") for k, x in at.items()))
+    for k in at:
+        rows = rows.join(names.select(F.col("place").cast("long").alias(f"{k}_place"), F.col("city").alias(k)), f"{k}_place", "left")
+    return rows.select("id", *at)
 
 
-def labelled_orders(ids: DataFrame, cities: list[str], seed: int = 42) -> DataFrame:
+def labelled_orders(ids: DataFrame, cities: DataFrame, seed: int = 42) -> DataFrame:
     """``id`` rows to labelled sentences: 55 % valid, 20 % trash, 15 % incomplete, 10 % ambiguous.
 
-    A quarter of the valid ones have each city mistyped with even odds. ``cities`` is a short list (three at least).
+    A quarter of the valid ones have each city mistyped with even odds. ``cities`` has a ``city`` (three different ones at least)
+    and may be large.
     """
-    key, cities = F.col("id"), _checked(cities, 3)
+    key, rows = F.col("id"), _with_cities(ids, cities, 3, seed)
     u = lambda salt: uniform(key, salt, seed)
-    dep, dest, other = _three(cities, key, seed)
+    dep, dest, other = F.col("dep"), F.col("dest"), F.col("other")
     slip = lambda name, side: F.when((u("slips") < 0.25) & (u(f"slip {side}") < 0.5), mild_typo(name, F.concat_ws(side, key, key), seed)).otherwise(name)
     pick = lambda options, salt: one_of(list(options), u(salt))
     kind = u("kind")
@@ -99,21 +109,19 @@ def labelled_orders(ids: DataFrame, cities: list[str], seed: int = 42) -> DataFr
         .when(kind < 0.90, _filled(half, dep=dep, dest=dest))
         .otherwise(_filled(pick(AMBIGUOUS, "ambiguous"), dep=dep, dest=dest, other=other))
     )
-    return ids.select(
+    return rows.select(
         key.cast("string").alias("sentence_id"), text.alias("sentence"), F.when(valid, dep).alias("expected_dep"), F.when(valid, dest).alias("expected_dest"), valid.cast("int").alias("expected_valid")
     )
 
 
-def noisy_orders(ids: DataFrame, cities: list[str], invalid_ratio: float = 0.25, seed: int = 42) -> DataFrame:
+def noisy_orders(ids: DataFrame, cities: DataFrame, invalid_ratio: float = 0.25, seed: int = 42) -> DataFrame:
     """``id`` rows to ``order_id, sentence`` with controlled typos and noise; five cities at least."""
-    key, cities = F.col("id"), _checked(cities, 5)
+    key, rows = F.col("id"), _with_cities(ids, cities, 5, seed)
     u = lambda salt: uniform(key, salt, seed)
-    dep, dest, other = _three(cities, key, seed)
-    slips = {n: controlled_typo(c, F.concat_ws(n, key, key), seed) for n, c in (("dep", dep), ("dest", dest), ("other", other))}
-    wrong = _filled(one_of(list(NO_ORDERS), u("no order")), dep=dep)
+    slips = {n: controlled_typo(F.col(n), F.concat_ws(n, key, key), seed) for n in ("dep", "dest", "other")}
+    wrong = _filled(one_of(list(NO_ORDERS), u("no order")), dep=F.col("dep"))
     right = _filled(one_of(list(ORDERS), u("order")), **slips)
     text = F.when(u("invalid") < invalid_ratio, wrong).otherwise(right)
     name = key.cast("string")
     padded = F.concat(F.lit("S"), F.lpad(name, F.greatest(F.lit(5), F.length(name)), F.lit("0")))
-    rows = ids.select(padded.alias("order_id"), text.alias("sentence"))
-    return with_noise(rows, "sentence", F.col("order_id"), seed)
+    return with_noise(rows.select(padded.alias("order_id"), text.alias("sentence")), "sentence", F.col("order_id"), seed)

@@ -169,15 +169,14 @@ def test_itinerary(spark):
     assert got == [("1", 0, "Départ", 0), ("1", 1, "Étape", 391), ("1", 2, "Arrivée", 3), ("2", 0, "Départ", 0), ("2", 1, "Arrivée", 20015)]
 
 
-def test_generated_shares(spark):
-    names = [c.replace("_", " ") for c in CITIES]
-    rows = generate.labelled_orders(spark.range(20_000), names)
+def test_generated_shares(spark, cities):
+    rows = generate.labelled_orders(spark.range(20_000), cities)
     valid = rows.where("expected_valid = 1")
     assert abs(valid.count() / 20_000 - 0.55) < 0.02 and valid.where("expected_dep = expected_dest").isEmpty()
     assert abs(rows.where("sentence IN ('Bonjour', 'Salut', 'Merci', 'Comment ça va')").count() / 20_000 - 0.10) < 0.02
-    again = generate.labelled_orders(spark.range(20_000).repartition(7), names)
+    again = generate.labelled_orders(spark.range(20_000).repartition(7), cities.unionByName(cities))
     assert rows.exceptAll(again).isEmpty()
-    noisy = generate.noisy_orders(spark.range(5_000), names)
+    noisy = generate.noisy_orders(spark.range(5_000), cities)
     assert noisy.where("order_id = 'S00042'").count() == 1 and noisy.select("sentence").distinct().count() > 1_000
     with pytest.raises(ValueError):
-        generate.noisy_orders(spark.range(1), names[:4])
+        generate.noisy_orders(spark.range(1), cities.limit(4))
