@@ -102,12 +102,19 @@ def name_variants(name: Column) -> Column:
 _BLOCK = 256
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is named: in a lambda it would be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def running_total(numbers: Column) -> Column:
     """For each number of an array the sum up to it. Sums of blocks first, so that time grows little more than the array."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / _BLOCK).cast("int")), lambda b: total(F.slice(numbers, b * _BLOCK + 1, F.lit(_BLOCK))))
-    before = F.transform(blocks, lambda x, b: total(F.slice(blocks, F.lit(1), b)))
-    return F.transform(numbers, lambda x, i: F.get(before, F.floor(i / _BLOCK).cast("int")) + total(F.slice(numbers, i - i % _BLOCK + 1, i % _BLOCK + 1)))
+    upto = lambda a, n: total(F.slice(a, F.lit(1), n))
+    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / _BLOCK).cast("int")), lambda b: total(F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK))))
+    starts = lambda bs: F.transform(bs, lambda x, b: upto(bs, b))
+    each = lambda a, before: F.transform(a, lambda x, i: F.get(before, F.floor(i / _BLOCK).cast("int")) + total(F.slice(a, i - i % _BLOCK + 1, i % _BLOCK + 1)))
+    return bound(numbers, lambda a: bound(blocks(a), lambda bs: bound(starts(bs), lambda before: each(a, before))))
 
 
 def uniform(key: Column, salt: str, seed: int = 0) -> Column:

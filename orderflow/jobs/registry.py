@@ -313,17 +313,17 @@ def station_candidates(spark: SparkSession, d: str) -> DataFrame:
     return found.select("city", "rank", "rank_score", "station_name", "uic_code")
 
 
-@_query(
-    """WITH s AS (SELECT order_id, unnest(string_split(lower(sentence), ' ')) AS w FROM {orders_text}),
+_OFFERED_SQL = """WITH s AS (SELECT order_id, unnest(string_split(lower(sentence), ' ')) AS w FROM {orders_text}),
     c AS (SELECT order_id, w, count(*) AS n FROM s WHERE length(w) >= 4 GROUP BY ALL),
     names AS (SELECT DISTINCT lower(station_name) AS n FROM {stations}),
     m AS (SELECT DISTINCT w, names.n FROM (SELECT DISTINCT w FROM c) JOIN names ON contains(names.n, w)),
     h AS (SELECT order_id, m.n, sum(c.n)::BIGINT AS hits FROM c JOIN m USING (w) GROUP BY ALL),
     k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY hits DESC, length(n), n) <= 12),
     f AS (SELECT order_id, hits, station_name, uic_code FROM k JOIN {stations} ON lower(station_name) = n)
-    SELECT *, (row_number() OVER (PARTITION BY order_id ORDER BY hits DESC, length(station_name), station_name, uic_code))::INT AS rank FROM f QUALIFY rank <= 12""",
-    "orders_text", "stations",
-)
+    SELECT *, (row_number() OVER (PARTITION BY order_id ORDER BY hits DESC, length(station_name), station_name, uic_code))::INT AS rank FROM f QUALIFY rank <= 12"""
+
+
+@_query(_OFFERED_SQL, "orders_text", "stations")
 def free_text_candidates(spark: SparkSession, d: str) -> DataFrame:
     found = stations.candidates_for_text(view(spark, d, "orders_text"), _stations(spark, d))
     return found.select("order_id", "hits", "station_name", "uic_code", "rank")
@@ -371,6 +371,22 @@ def station_profile(spark: SparkSession, d: str) -> DataFrame:
     return stations.profile(view(spark, d, "raw_stations"))
 
 
+@_query("SELECT * FROM {raw_stations} ORDER BY station_name NULLS FIRST, trigram NULLS FIRST, position NULLS FIRST, uic_code NULLS FIRST LIMIT 5", "raw_stations")
+def station_first_rows(spark: SparkSession, d: str) -> DataFrame:
+    return stations.first_rows(view(spark, d, "raw_stations"))
+
+
+@_query(
+    """WITH l AS (SELECT DISTINCT station_name AS name FROM {stations} ORDER BY length(station_name) DESC, station_name LIMIT 600), t AS (SELECT DISTINCT station_name FROM {stations})
+    SELECT station_name, upper(station_name) AS text, 7 AS start, (7 + length(station_name))::INT AS "end" FROM t WHERE lower(station_name) IN (SELECT lower(name) FROM l)""",
+    "stations",
+)
+def station_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """The longest station names in texts, in any case."""
+    texts = view(spark, d, "stations").select("station_name").distinct().withColumn("said", F.concat(F.lit("Depuis "), F.upper("station_name"), F.lit(", svp !")))
+    return gazetteer.mentions(texts, gazetteer.longest_names(view(spark, d, "stations")), ignore_case=True, id_col="station_name", text_col="said")
+
+
 @_query("SELECT DISTINCT station_name AS name FROM {stations} ORDER BY length(station_name) DESC, station_name LIMIT 600", "stations")
 def longest_station_names(spark: SparkSession, d: str) -> DataFrame:
     return gazetteer.longest_names(view(spark, d, "stations"))
@@ -510,7 +526,7 @@ def literal_confidence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("order_id", confidence.literal_confidence(F.col("sentence"), F.col("expected_dep"), F.col("expected_dest")).alias("c")).select("order_id", "c.*")
 
 
-_RESOLVED_SQL = f"""{_PARSED_SQL}, {_CANDIDATES_SQL},
+_RANKED_SQL = f"""{_CANDIDATES_SQL},
     lists AS (SELECT city, count(*) AS n, lower(string_agg(station_name, ' ' ORDER BY rank)) AS names FROM top GROUP BY city),
     j AS (SELECT order_id, sentence, departure, destination, status = 'OK' AS ok, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb, coalesce(a.names, '') AS sa, coalesce(b.names, '') AS sb
       FROM parsed LEFT JOIN lists a ON a.city = departure LEFT JOIN lists b ON b.city = destination),
@@ -518,6 +534,10 @@ _RESOLVED_SQL = f"""{_PARSED_SQL}, {_CANDIDATES_SQL},
         least(0.10, greatest(0, (na - 3) * 0.02)) + least(0.10, greatest(0, (nb - 3) * 0.02)) AS amb,
         CASE WHEN contains(sa, destination) THEN 0.05 ELSE 0 END + CASE WHEN contains(sb, departure) THEN 0.05 ELSE 0 END AS con FROM j),
     resolved AS (SELECT order_id, ok, departure, destination, na AS n_dep, nb AS n_arr, round((CASE WHEN ok THEN greatest(0, base - amb - con) ELSE 0.15 END)::DOUBLE, 6) AS confidence, CASE WHEN ok THEN 'ok' ELSE 'invalid_or_ambiguous' END AS reason FROM f)"""
+_RESOLVED_SQL = f"{_PARSED_SQL}, {_RANKED_SQL}"
+_MENTION_PAIRS_SQL = f"""{_MENTIONS_SQL}, one AS (SELECT order_id, lower(text) AS l, min({{'s': start, 't': text}}) AS m FROM said GROUP BY ALL),
+    two AS (SELECT order_id, list_sort(list(m)) AS ms FROM one GROUP BY order_id HAVING count(*) >= 2),
+    pair AS (SELECT order_id, ms[1].t AS departure, ms[2].t AS destination FROM two)"""
 
 
 def _resolved(spark: SparkSession, d: str, **options) -> DataFrame:
@@ -534,9 +554,16 @@ def resolved_orders(spark: SparkSession, d: str) -> DataFrame:
     return _short(_resolved(spark, d))
 
 
-@_query()
+@_query(
+    f"""WITH {_MENTION_PAIRS_SQL}, parsed AS (SELECT order_id, sentence, departure, destination, CASE WHEN departure IS NULL THEN 'INVALID' ELSE 'OK' END AS status FROM orders_text__v LEFT JOIN pair USING (order_id)),
+    {_RANKED_SQL}, offered AS (SELECT order_id, string_agg(station_name, '|' ORDER BY rank) AS proposed FROM ({_OFFERED_SQL}) GROUP BY order_id)
+    SELECT order_id, ok, departure, destination, n_dep, n_arr, confidence, CASE WHEN ok THEN 'ok' ELSE 'spacy_no_result_helpful' END AS reason, CASE WHEN NOT ok THEN proposed END AS proposed
+    FROM resolved LEFT JOIN offered USING (order_id)""",
+    "orders_text", "cities", "stations",
+)
 def resolved_by_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return _short(_resolved(spark, d, mode="gazetteer", helpful=True), "proposed")
+    rows = _resolved(spark, d, mode="gazetteer", helpful=True)
+    return _short(rows.withColumn("proposed", F.array_join(F.col("proposed.station_name"), "|")), "proposed")
 
 
 _JUDGED_SQL = f"""{_PARSED_SQL}, judged AS (SELECT l.order_id, l.sentence, expected_dep, expected_dest, departure, destination,

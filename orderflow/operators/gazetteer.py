@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.functions.text import name_variants, running_total
+from orderflow.functions.text import bound, name_variants, running_total
 from orderflow.sources.scratch import spread, stored
 
 _TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
@@ -19,10 +19,11 @@ def longest_names(stations: DataFrame, limit: int = 600) -> DataFrame:
 
 def _tokens(text: Column) -> Column:
     """Tokens with the 0-based places where they begin and end."""
-    found = F.regexp_extract_all(text, F.lit(_TOKEN), 0)
-    gaps = F.transform(F.slice(F.split(text, _TOKEN, -1), F.lit(1), F.size(found)), lambda g: F.length(g))
-    ends = running_total(F.zip_with(gaps, found, lambda g, t: g + F.length(t)))
-    return F.zip_with(found, ends, lambda t, e: F.struct(t.alias("t"), (e - F.length(t)).alias("b"), e.alias("e")))
+    size = lambda a: F.transform(a, lambda x: F.length(x))
+    place = lambda ts, ends: F.zip_with(ts, ends, lambda t, e: F.struct(t.alias("t"), (e - F.length(t)).alias("b"), e.alias("e")))
+    gaps = F.split(text, _TOKEN, -1)
+    ends = lambda ts: running_total(F.zip_with(size(F.slice(gaps, F.lit(1), F.size(ts))), size(ts), lambda g, t: g + t))
+    return bound(F.regexp_extract_all(text, F.lit(_TOKEN), 0), lambda ts: bound(ends(ts), lambda es: place(ts, es)))
 
 
 def _key(tokens: Column) -> Column:

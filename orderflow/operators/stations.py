@@ -123,3 +123,8 @@ def profile(rows: DataFrame) -> DataFrame:
     one = rows.agg(*asked)
     each = F.array(*(F.struct(F.lit(c).alias("column"), F.col("n").alias("n_rows"), F.col(f"null{i}").alias("n_null"), F.col(f"diff{i}").alias("n_different")) for i, c in enumerate(rows.columns)))
     return one.select(F.explode(each).alias("r")).select("r.*")
+
+
+def first_rows(rows: DataFrame, n: int = 5) -> DataFrame:
+    """The first rows in the order of the columns, nulls first."""
+    return rows.orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in rows.columns)).limit(n)

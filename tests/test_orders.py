@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderflow.functions import fuzzy, text
+from orderflow.jobs.schedule import answer_orders
 from orderflow.operators import confidence, evaluate, extract, gazetteer, generate, itinerary, stations, timetable
 from orderflow.sources import tables
+from orderflow.streaming import orders as streams
 
 CITIES = "Paris Toulouse Lyon Marseille Bordeaux Lille Nantes Strasbourg Montpellier Rennes Nice Grenoble Saint-Etienne Le_Havre Reims Toulon Angers Dijon Nimes Clermont-Ferrand".split()
 
@@ -180,3 +182,94 @@ def test_generated_shares(spark, cities):
     assert noisy.where("order_id = 'S00042'").count() == 1 and noisy.select("sentence").distinct().count() > 1_000
     with pytest.raises(ValueError):
         generate.noisy_orders(spark.range(1), cities.limit(4))
+
+
+def test_rows_with_the_same_id_or_none(spark, cities, places):
+    """Every row is answered for itself, whatever its id; null, empty and very long sentences have an answer too."""
+    long = "mot " * 5_000 + "de Lyon à Paris " + "mot " * 5_000
+    said = [("1", "Je veux aller de Lyon à Paris"), ("1", "Je veux aller de Paris à Lyon"), ("1", "Je veux aller de Lyon à Paris"), (None, "Aller de Nantes à Lille"), (None, "Bonjour"), ("2", None), ("2", ""), ("3", long)]
+    rows = spark.createDataFrame(said, "order_id string, sentence string")
+    pairs = [("Lyon", "Paris"), ("Paris", "Lyon"), ("Lyon", "Paris"), ("Nantes", "Lille"), (None, None), (None, None), (None, None), ("Lyon", "Paris")]
+    key = lambda r: tuple((x is None, x or "") for x in r)
+    wanted = sorted(((i, s, *p) for (i, s), p in zip(said, pairs, strict=True)), key=key)
+    got = extract.parse_orders(rows, cities)
+    assert sorted(((r.order_id, r.sentence, r.departure, r.destination) for r in got.collect()), key=key) == wanted
+    for mode in ("baseline", "gazetteer"):
+        found = confidence.resolve(rows, cities, places, mode=mode, helpful=True).collect()
+        assert sorted(((r.order_id, r.sentence, r.departure, r.destination) for r in found), key=key) == wanted
+        assert all(r.ok == (r.departure is not None) for r in found)
+    names = cities.withColumnRenamed("city", "name")
+    spoken = [(r.order_id, r.text) for r in gazetteer.mentions(rows, names).collect()]
+    assert sorted(spoken, key=key) == sorted([(i, c) for (i, _), p in zip(said, pairs, strict=True) for c in p if c], key=key)
+    empty = rows.limit(0)
+    assert extract.parse_orders(empty, cities).isEmpty() and gazetteer.mentions(empty, names).isEmpty() and confidence.resolve(empty, cities, places).isEmpty()
+    assert extract.parse_orders(rows, cities.limit(0)).where("status = 'OK'").isEmpty() and gazetteer.mentions(rows, names.limit(0)).isEmpty()
+
+
+def test_nested_and_chained_mentions(spark):
+    names = spark.createDataFrame([("a b c",), ("c d",), ("d e f g",), ("b",), ("g h",), ("x",)], "name string")
+    texts = spark.createDataFrame([("1", "a b c d e f g h x x"), ("2", "b x " * 3000)], "order_id string, sentence string")
+    got = gazetteer.mentions(texts, names)
+    assert [r.text for r in got.where("order_id = '1'").orderBy("start").collect()] == ["a b c", "d e f g", "x", "x"]
+    assert got.where("order_id = '2'").count() == 6000
+
+
+def test_best_names_by_all_scores():
+    """Pruned by bounds, the best name is that of all scores."""
+    rng = __import__("random").Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 9)))
+    norms = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(150)})
+    known = fuzzy.Names([(k, n, n.upper()) for k, n in enumerate(norms)])
+    for _ in range(150):
+        slot = " ".join(word() for _ in range(rng.randint(1, 3)))
+        scores = [(fuzzy.weighted_ratio(slot, n), -k) for k, n in enumerate(norms)]
+        score, k = max(scores)
+        for least in (0.0, 60.0, 85.0):
+            assert known.best(slot, least)[:3] == ((score, -k, norms[-k]) if score > 0 and score >= least else (0.0, -1, ""))
+    assert fuzzy.Names([]).best("a") == (0.0, -1, "", "")
+
+
+GTFS = {
+    "stops.txt": 'stop_id,stop_name,stop_code\nP1,"Paris ""Gare de Lyon"", Hall 1",10000001\nL1,Lyon Part Dieu,20000001\nM1,"Dijon, Ville",\nN1,Gare de Nantes,\nG1,Grenoble,70000000\n',
+    "stop_times.txt": "trip_id,stop_id,stop_sequence,arrival_time,departure_time\nT1,P1,1,07:00:00,07:05:00\nT1,L1,2,09:00:00,09:05:00\nT2,P1,1,08:00:00,08:00:00\nT2,M1,2,09:30:00,09:31:00\nT3,M1,1,,09:40:00\nT3,N1,2,12:00:00,\n",
+    "trips.txt": "trip_id,route_id\nT1,R1\nT2,R2\n",
+    "routes.txt": "route_id\nR1\nR2\n",
+}
+
+
+def test_schedule_lines_from_files(spark, cities, places, tmp_path):
+    """An order to its lines: by the hub's code, by the city's name where the hub has no stop or there is no hub, and none."""
+    for name, content in GTFS.items():
+        (tmp_path / name).write_text(content)
+    known = tables.timetable(spark, str(tmp_path))
+    said = ["S42,Je voudrais aller de Paris à Lyon demain", "\tS43 , Je vais à Nantes depuis Paris\u00a0", "S44,de Lyon à Grenoble", "S45,Bonjour", "S42,Je voudrais aller de Paris à Lyon demain", "no comma"]
+    orders = tables.order_lines(spark.createDataFrame([(x,) for x in said], "value string"))
+    answers = answer_orders(orders, cities, places, known)
+    lines = [r.line for r in tables.schedule_lines(answers).orderBy("order_id", "line_no", "line").collect()]
+    paris = 'Paris "Gare de Lyon", Hall 1'
+    assert lines == [
+        "S42,Paris,Lyon", "S42,Paris,Lyon", *[f"S42,SCHEDULE,DIRECT,Paris,Lyon,07:05:00,09:00:00,T1,{paris},Lyon Part Dieu"] * 2,
+        "S43,Paris,Dijon, Ville,Nantes", f"S43,SCHEDULE,1_TRANSFER,Paris,Nantes,08:00:00,09:30:00,T2,09:40:00,12:00:00,T3,{paris},Dijon, Ville,Gare de Nantes",
+        "S44,NO_SCHEDULE_FOUND,Lyon,Grenoble",
+    ]
+    one = answers.where("order_id = 'S43'").first()
+    assert (one.from_stop, one.transfer_stop, one.to_stop, one.route1, one.route2) == ("P1", "M1", "N1", "R2", "")
+    assert sorted(r.line for r in tables.order_answers(extract.parse_orders(orders, cities)).collect())[-3:] == ["S44,Lyon,Grenoble", "S45,INVALID", "no comma,INVALID_FORMAT"]
+    (tmp_path / "trips.txt").write_text("trip_id,x\nT1,R1\n")
+    with pytest.raises(ValueError, match="trips.route_id"):
+        tables.timetable(spark, str(tmp_path))
+
+
+def test_stream_that_goes_on(spark, cities, places, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("1,Paris,Lyon\nx\n")
+    stops = spark.createDataFrame([("P", "Paris", "10000001"), ("L", "Lyon", "20000001")], "stop_id string, stop_name string, stop_code string")
+    times = spark.createDataFrame([("T", "P", "1", "06:00:00", "06:00:00"), ("T", "L", "2", "08:00:00", "08:00:00")], "trip_id string, stop_id string, stop_sequence string, arrival_time string, departure_time string")
+    known = tables.timetable_of(stops, times, spark.createDataFrame([("T", "R")], "trip_id string, route_id string"))
+    own = streams.schedule_stream(streams.order_stream(spark, str(tmp_path / "in")), places, known, str(tmp_path / "out"), str(tmp_path / "state"), every="1 second")
+    own.processAllAvailable()
+    (tmp_path / "in" / "b.txt").write_text("2,Lyon,Paris\n")
+    own.processAllAvailable()
+    own.stop()
+    got = spark.read.schema("order_id string, line_no int, line string").parquet(str(tmp_path / "out" / "*"))
+    assert sorted(r.line for r in got.collect()) == ["1,Paris,Lyon", "1,SCHEDULE,DIRECT,Paris,Lyon,06:00:00,08:00:00,T,Paris,Lyon", "2,NO_SCHEDULE_FOUND,Lyon,Paris"]
