@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderflow.functions.text import bound, running_total
 from orderflow.llm._shared import table, written
 
 #: kind: pattern, group that holds the value, least length of that group, and words of which a text must have one, in lower case.
@@ -42,24 +43,6 @@ COMMON_OWNERS, COMMON_REPOS = 3, 6
 PARTS = 16
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value_start:int,value:string>>"
-_BLOCK = 512
-
-
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
-
-
-def _before(sizes: Column) -> Column:
-    """For each element the sum of those before it. Sums of blocks keep this near-linear for very many elements."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")),
-        lambda b: _sum(F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK))),
-    )
-    starts = F.transform(F.sequence(F.lit(0), F.size(blocks) - 1), lambda b: _sum(F.slice(blocks, F.lit(1), b)))
-    return F.transform(
-        F.sequence(F.lit(0), F.size(sizes) - 1),
-        lambda i: F.get(starts, F.floor(i / _BLOCK).cast("int")) + _sum(F.slice(sizes, i - i % _BLOCK + 1, i % _BLOCK)),
-    )
 
 
 def _spans_of(text: Column, kind: str) -> Column:
@@ -67,22 +50,19 @@ def _spans_of(text: Column, kind: str) -> Column:
     pattern, group, least, _ = KINDS[kind]
     if kind == "pem":
         pattern, group = PEM, 1
-    found, values = F.regexp_extract_all(text, F.lit(pattern), 0), F.regexp_extract_all(text, F.lit(pattern), group)
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    sizes = F.transform(found, lambda x: F.length(x))
-    at = _before(F.zip_with(F.slice(between, F.lit(1), F.size(sizes)), sizes, lambda a, b: a + b))
-    rows = F.transform(
-        F.arrays_zip(found.alias("m"), values.alias("v"), at.alias("at"), between.alias("gap")),
-        lambda r: F.struct(
-            (r["at"] + r["gap"]).alias("start"),
-            F.lit(list(KINDS).index(kind)).alias("kind"),
-            (r["at"] + r["gap"] + F.length(r["m"])).alias("end"),
-            # the value ends the match in every kind
-            (r["at"] + r["gap"] + F.length(r["m"]) - F.length(r["v"])).alias("value_start"),
-            (F.regexp_replace(r["v"], _PEM_FRAME, "") if kind == "pem" else r["v"]).alias("value"),
-        ),
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    values = F.regexp_extract_all(text, F.lit(pattern), group)
+    ends = lambda ms: running_total(F.zip_with(F.slice(gaps, F.lit(1), F.size(ms)), ms, lambda g, m: g + F.length(m)))
+    placed = lambda ms: F.zip_with(ms, ends(ms), lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end")))
+    row = lambda r, v: F.struct(
+        r["start"].alias("start"),
+        F.lit(list(KINDS).index(kind)).alias("kind"),
+        r["end"].alias("end"),
+        (r["end"] - F.length(v)).alias("value_start"),  # the value ends the match in every kind
+        (F.regexp_replace(v, _PEM_FRAME, "") if kind == "pem" else v).alias("value"),
     )
-    return F.filter(F.slice(rows, F.lit(1), F.size(sizes)), lambda r: F.length(r["value"]) >= least).cast(_SPAN)
+    rows = bound(F.regexp_extract_all(text, F.lit(pattern), 0), lambda ms: F.zip_with(placed(ms), values, row))
+    return F.filter(rows, lambda r: F.length(r["value"]) >= least).cast(_SPAN)
 
 
 def spans(text: Column) -> Column:
