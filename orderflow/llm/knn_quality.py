@@ -1,7 +1,7 @@
 """Text quality by nearest neighbours among labelled latent-semantic vectors.
 
 A text becomes counts of hashed terms: the shapes of its words and of neighbouring words, its repeats, and its
-size. A bounded sample of labelled rows gives the term weights, and by a truncated singular value
+size. No word enters as such: quality shows in form, in any language, and what a text is about is none of it. A bounded sample of labelled rows gives the term weights, and by a truncated singular value
 decomposition the latent space; the sample's own vectors there are the neighbours. Model and neighbours
 have a fixed size, so they are shipped to all tasks, and every document is compared with every neighbour, a block of
 documents at a time. The neighbours' labels are weighted by cosine similarity.

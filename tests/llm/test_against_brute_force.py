@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orderflow import llm
-from orderflow.llm import components, decontaminate, pieces, quality_rules, secret_scan, simhash, url_lists, warc
+from orderflow.llm import components, decontaminate, knn_quality, pieces, quality_rules, secret_scan, simhash, url_lists, warc
 from orderflow.llm._shared import scratch_path
 
 
@@ -184,6 +184,30 @@ def test_knn_held_out_accuracy(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_scores_are_those_of_plain_votes(spark):
+    """Every document against every labelled vector, one at a time; equal neighbours at the edge vote all."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(docs.selectExpr("doc_id + 100000 AS doc_id", "text")).unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a")], "doc_id long, text string"))
+    labels = docs.where("doc_id >= 0").selectExpr("doc_id", "CAST(length(text) % 2 AS INT) AS quality")
+    model = knn_quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in knn_quality.score(docs, model).collect()}
+    assert 60 < len(model.labels) < 120
+    for r in docs.collect():
+        x = np.zeros(knn_quality.TERMS)
+        for term, n in knn_quality.terms_of((r.text or "").encode()).items():
+            x[term] = n
+        x = x * model.weights
+        x = (x / (np.linalg.norm(x) or 1)) @ model.axes.astype(float)
+        x = x / (np.linalg.norm(x) or 1)
+        near = [float(v @ x) for v in model.vectors.astype(float)]
+        edge = sorted(near, reverse=True)[knn_quality.NEIGHBOURS - 1]
+        votes = [(max(c, 0.0) ** 4, y) for c, y in zip(near, model.labels, strict=True) if c >= edge - 1e-6]
+        total = sum(v for v, _ in votes)
+        assert abs(got[r.doc_id] - (sum(v * y for v, y in votes) / total if total else 0.5)) < 2e-3, r.doc_id
+    empty = knn_quality.fit(docs.limit(0), labels)
+    assert {r.score for r in knn_quality.score(docs, empty).collect()} == {0.5}
+
+
 def test_common_and_live_secrets(spark):
     value = "A1b2C3d4E5f6G7h8J9k0"
     rows = [(i, f"x token={value} y", "en", f"s{i}") for i in range(3)] + [(9, "token=Z9y8X7w6V5u4T3s2 token=short-one", "en", "s0"), (10, "no", "en", "s1")]

@@ -59,3 +59,18 @@ def test_groups_whose_copies_are_not_alike(spark, monkeypatch, few):
     wanted = wanted_of(docs)
     assert len(set(wanted.values())) > 10
     assert {r.doc_id: r.keep_id for r in near_copies.near_copy_classes(rows).collect()} == wanted
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null, empty, repeated and very long texts, null ids, extra columns with clashing names, and an empty table."""
+    good = "The mill by the river stood for a hundred years, and those who lived there said that it would stand for a hundred more, whatever the people of the town might think of it, since nobody had ever seen the water rise above the second step of the old stone stairs that led to the garden behind the house."
+    rng = np.random.default_rng(1)
+    long = " ".join("".join(w) for w in rng.choice(list("abcdefghij"), (30_000, 6)))
+    rows = [(1, good), (1, good), (2, good + " token=Abc123Def456Ghi789xyz"), (3, None), (4, ""), (5, "few words"), (None, good.replace("mill", "barn").replace("river", "lake").replace("town", "village").replace("stone", "wooden").replace("garden", "yard")), (6, long)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, key string, rid long")
+    for name, table in (("odd", docs), ("none", docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 6] and all(r.n_tokens > 50 for r in got)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).isEmpty()
