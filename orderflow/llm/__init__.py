@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderflow.llm import decontaminate, html_extract, knn_quality, licenses, pieces, quality_rules, secret_scan, simhash, url_lists, warc
+from orderflow.llm import decontaminate, html_extract, knn_quality, licenses, pieces, quality_rules, secret_scan, simhash, url_lists, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_knn_quality": knn_quality.op8_knn_quality,
         "op9_url_filter": url_lists.op9_url_filter,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+        "op12_whitening": whitening.op12_whitening,
     }
 
 
