@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderflow.llm import decontaminate, html_extract, knn_quality, licenses, pieces, quality_rules, secret_scan, simhash, url_lists, warc, whitening
+from orderflow.llm import collocations, decontaminate, html_extract, knn_quality, licenses, pieces, quality_rules, secret_scan, simhash, url_lists, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_knn_quality": knn_quality.op8_knn_quality,
         "op9_url_filter": url_lists.op9_url_filter,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+        "op11_collocations": collocations.op11_collocations,
         "op12_whitening": whitening.op12_whitening,
     }
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.op6_oracle(),
         "op9_url_filter": url_lists.op9_oracle(),
         "op10_benchmark_decontamination": decontaminate.op10_oracle(),
+        "op11_collocations": collocations.op11_oracle(),
     }
