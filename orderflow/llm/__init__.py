@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderflow.llm import collocations, decontaminate, html_extract, knn_quality, licenses, pieces, quality_rules, secret_scan, simhash, url_lists, warc, whitening
+from orderflow.llm import collocations, decontaminate, html_extract, jaccard_join, knn_quality, licenses, pieces, quality_rules, secret_scan, simhash, url_lists, warc, whitening
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
         "op11_collocations": collocations.op11_collocations,
         "op12_whitening": whitening.op12_whitening,
+        "op13_jaccard_join": jaccard_join.op13_jaccard_join,
     }
 
 
