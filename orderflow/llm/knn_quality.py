@@ -27,6 +27,7 @@ PER_LABEL = 1000  # labelled rows of each label in the sample
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 BLOCK = 512  # documents compared at once
+EDGE = 1e-9  # cosines this near the last neighbour's are its equals, and vote too
 
 _SHAPE = bytes(
     65 if 65 <= b <= 90 else 97 if b >= 128 or 97 <= b <= 122 else 48 if 48 <= b <= 57 else 32 if b <= 32 else b for b in range(256)
@@ -85,18 +86,28 @@ class Model:
             q = np.linalg.qr(x.T @ (x @ q))[0] if want else q
         _, _, v = np.linalg.svd(x @ q, full_matrices=False) if want else (0, 0, np.zeros((0, 0)))
         axes = (q @ v.T[:, :want]).astype(np.float32) if want else np.zeros((TERMS, 0), np.float32)
-        return Model(weights, axes, _unit(x @ axes), np.array(labels, np.float32))
+        # rows of the same terms have one and the same vector, whatever order their products were added up in
+        first: dict[tuple, int] = {}
+        same = [first.setdefault(tuple(sorted(row.items())), i) for i, row in enumerate(rows)]
+        return Model(weights, axes, _unit(x @ axes)[same], np.array(labels, np.float32))
+
+    def __post_init__(self):
+        self.different, self.which = np.unique(self.vectors.astype(float), axis=0, return_inverse=True) if self.vectors.size else (self.vectors, np.zeros(0, int))
 
     def scores(self, rows: list[dict[int, float]]) -> np.ndarray:
-        """Share of label 1 among the nearest neighbours, by similarity; 0.5 if nothing is similar."""
+        """Share of label 1 among the nearest neighbours, by similarity; 0.5 if nothing is similar.
+
+        Cosines are doubles, and one for each different labelled vector, so equals stay equal on any machine.
+        """
         out = np.full(len(rows), 0.5)
         if not len(self.labels):
             return out
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(rows), BLOCK):
-            cosine = _unit(_unit(_dense(rows[at : at + BLOCK]) * self.weights) @ self.axes) @ self.vectors.T
+            own = _unit(_unit(_dense(rows[at : at + BLOCK]).astype(float) * self.weights) @ self.axes.astype(float))
+            cosine = (own @ self.different.T)[:, self.which] if self.vectors.size else np.zeros((len(own), len(self.labels)))
             least = np.partition(cosine, len(self.labels) - k, axis=1)[:, -k, None]
-            vote = np.where(cosine >= least, np.maximum(cosine, 0), 0)
+            vote = np.where(cosine >= least - EDGE, np.maximum(cosine, 0), 0)
             vote *= vote
             vote *= vote
             total = vote.sum(axis=1, dtype=np.float64)
