@@ -119,9 +119,9 @@ def _hash_of_pair(phrase: pa.Array) -> pa.Array:
 def map_of_pairs(pairs: DataFrame) -> np.ndarray:
     """A bit for each place that a pair of ``pairs`` (``phrase``) has: 8 MB, however many there are."""
     at = pairs.select(F.shiftrightunsigned(_hash_of_pair("phrase"), 64 - MAP_BITS).alias("at"))
-    bits = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    bits = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    out[bits["i"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).view(np.uint64)
+    out[bits.column("i").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
     return out
 
 
