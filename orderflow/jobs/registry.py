@@ -44,6 +44,17 @@ def _timetable(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return tables.timetable_of(view(spark, d, "stops"), view(spark, d, "stop_times"), view(spark, d, "trips"))
 
 
+#: Layouts of stop times by application and folder: they are written once, and all searches of a session join them.
+_LAYOUTS: dict[tuple[str, str], timetable.Layout] = {}
+
+
+def _times(spark: SparkSession, d: str) -> timetable.Layout:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LAYOUTS:
+        _LAYOUTS[key] = timetable.stored_layout(_timetable(spark, d)["stop_times"])
+    return _LAYOUTS[key]
+
+
 def _stations(spark: SparkSession, d: str) -> DataFrame:
     return tables.stations(view(spark, d, "stations"))
 
@@ -433,18 +444,18 @@ _ENDS_SQL = "ends AS (SELECT * FROM ends__v)"
 )
 def direct_journeys(spark: SparkSession, d: str) -> DataFrame:
     known = _timetable(spark, d)
-    found = timetable.direct_journeys(view(spark, d, "ends"), known["stop_times"])
+    found = timetable.direct_journeys(view(spark, d, "ends"), _times(spark, d))
     return timetable.named(found, known, {"trip_id": "route_id"}, {"from_stop": "from_name", "to_stop": "to_name"})
 
 
 @_query(f"WITH {_ENDS_SQL}, {_DIRECT_SQL}, {_OUT_SQL} SELECT * FROM out_", "ends", "stop_times")
 def outbound_legs(spark: SparkSession, d: str) -> DataFrame:
-    return timetable.legs(view(spark, d, "ends"), _timetable(spark, d)["stop_times"], "from")
+    return timetable.legs(view(spark, d, "ends"), _times(spark, d), "from")
 
 
 @_query(f"WITH {_ENDS_SQL}, {_DIRECT_SQL}, {_IN_SQL} SELECT * FROM in_", "ends", "stop_times")
 def inbound_legs(spark: SparkSession, d: str) -> DataFrame:
-    return timetable.legs(view(spark, d, "ends"), _timetable(spark, d)["stop_times"], "to")
+    return timetable.legs(view(spark, d, "ends"), _times(spark, d), "to")
 
 
 @_query(
@@ -454,10 +465,22 @@ def inbound_legs(spark: SparkSession, d: str) -> DataFrame:
 )
 def transfer_journeys(spark: SparkSession, d: str) -> DataFrame:
     known = _timetable(spark, d)
-    found = timetable.transfer_journeys(view(spark, d, "ends"), known["stop_times"])
+    found = timetable.transfer_journeys(view(spark, d, "ends"), _times(spark, d))
     return timetable.named(found, known, {"trip1": "route1", "trip2": "route2"}, {"transfer_stop": "transfer_name"})
 
 
+_UNCUT_SQL = _TRANSFER_SQL.replace(" QUALIFY rank <= 400", "")
+
+
+@_query(
+    f"""WITH {_ENDS_SQL}, {_DIRECT_SQL}, {_UNCUT_SQL} SELECT query_id, rank, trip1, from_stop, dep1, transfer_stop, arr1, trip2, dep2, to_stop, arr2 FROM transfer WHERE rank = 1""",
+    "ends", "stop_times",
+)
+def exact_transfers(spark: SparkSession, d: str) -> DataFrame:
+    """The first journey with one transfer among all rides of every pair."""
+    return timetable.transfer_journeys(view(spark, d, "ends"), _times(spark, d), limit=1, most_legs=None)
+
+
 _ANSWERS_SQL = """answers AS (SELECT query_id, 'direct' AS kind, trip_id AS trip1, departure AS dep1, arrival AS arr1, NULL AS transfer_stop, NULL AS trip2, NULL AS dep2, NULL AS arr2, from_stop, to_stop FROM direct WHERE rank = 1
       UNION ALL SELECT query_id, 'transfer', trip1, dep1, arr1, transfer_stop, trip2, dep2, arr2, from_stop, to_stop FROM transfer WHERE rank = 1 AND query_id NOT IN (SELECT query_id FROM direct))"""
 # a city's stops: those with the code of its hub; if no stop has it, or there is no hub, those whose name holds the city's
@@ -486,7 +509,7 @@ _LINES_SQL = "SELECT order_id, (generate_subscripts(ls, 1) - 1)::INT AS line_no,
 def schedule_answers(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: every order sentence to its timetable answer."""
     orders = view(spark, d, "orders_text").select("order_id", "sentence")
-    return answer_orders(orders, view(spark, d, "cities"), view(spark, d, "stations"), _timetable(spark, d))
+    return answer_orders(orders, view(spark, d, "cities"), view(spark, d, "stations"), _timetable(spark, d) | {"stop_times": _times(spark, d)})
 
 
 @_query(f"WITH {_FLAGSHIP_SQL} {_LINES_SQL}", *_FLAGSHIP_VIEWS)
