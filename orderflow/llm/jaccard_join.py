@@ -133,7 +133,7 @@ def _with_sets(docs: DataFrame, columns: list[StructField], row_of) -> DataFrame
 
     def run(batches):
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", 1 << 20):
                 rows = [(i, r) for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True) if (r := row_of(s)) is not None]
                 fields = list(zip(*(r for _, r in rows), strict=True)) or [()] * len(columns)
                 types = [{"LongType": pa.int64(), "BinaryType": pa.binary(), "ArrayType": pa.list_(pa.int64())}[type(c.dataType).__name__] for c in columns]
@@ -280,7 +280,11 @@ def _candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = marked.where("n_shingles > 0").select("set_id", wanted("keys").alias("keys")).where("size(keys) > 0")
     sets = written(kept.groupBy("set_id").agg(F.first("keys").alias("keys")).withColumn("u", F.monotonically_increasing_id()), "meeting")
     met = sets.select("u", F.explode("keys").alias("key")).join(shared, "key", "left_semi")
-    return marked, written(met.groupBy("u").agg(F.collect_list("key").alias("keys")).join(sets.select("u", "set_id"), "u"), "meeting")
+    meeting = written(met.groupBy("u").agg(F.collect_list("key").alias("keys")).join(sets.select("u", "set_id"), "u"), "meeting")
+    slim = written(marked.select("doc_id", "n_shingles", "set_id"), "sets")
+    for done in (marked, shared, sets):
+        drop_written(done)
+    return slim, meeting
 
 
 def _elements(docs: DataFrame, sets: DataFrame) -> DataFrame:
