@@ -242,12 +242,21 @@ def slot_cities(spark: SparkSession, d: str) -> DataFrame:
     return extract.contained_cities(view(spark, d, "stations").select(F.lower("station_name").alias("slot")).distinct(), view(spark, d, "cities"))
 
 
+def _typos(spark: SparkSession, d: str) -> DataFrame:
+    word = F.explode(F.split("p_name", " ")).alias("word")
+    return view(spark, d, "part").select("p_partkey", word).select(text.mild_typo(F.col("word"), F.concat_ws("/", "p_partkey", "word")).alias("slot")).distinct()
+
+
 @_query()
 def fuzzy_slots(spark: SparkSession, d: str) -> DataFrame:
     """Mistyped part words against the dictionary."""
-    word = F.explode(F.split("p_name", " ")).alias("word")
-    slots = view(spark, d, "part").select("p_partkey", word).select(text.mild_typo(F.col("word"), F.concat_ws("/", "p_partkey", "word")).alias("slot")).distinct()
-    return extract.fuzzy_cities(slots, view(spark, d, "cities")).select("slot", F.round("score", 6).alias("score"), "city")
+    return extract.fuzzy_cities(_typos(spark, d), view(spark, d, "cities")).select("slot", F.round("score", 6).alias("score"), "city")
+
+
+@_query()
+def fuzzy_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Mistyped part words against the dictionary, at the score from which orders are accepted."""
+    return extract.fuzzy_cities(_typos(spark, d), view(spark, d, "cities"), extract.LEAST_SCORE).select("slot", F.round("score", 6).alias("score"), "city")
 
 
 @_query(f"WITH {_PARSED_SQL} SELECT * FROM parsed", "orders_text", "cities")

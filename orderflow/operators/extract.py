@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orderflow.functions.fuzzy import best_matches
 from orderflow.functions.text import clean_slot, norm_ascii, stripped
+from orderflow.operators import fuzzy_index
 from orderflow.operators.containment import held_by
 from orderflow.sources.scratch import spread, stored
 
@@ -79,13 +80,16 @@ def contained_cities(slots_: DataFrame, cities: DataFrame) -> DataFrame:
 def fuzzy_cities(slots_: DataFrame, cities: DataFrame, least: float = 0.0, block_names: int = BLOCK_NAMES) -> DataFrame:
     """Different normal ``slot`` values to their best name ``slot, score, city_norm, city``.
 
-    A slot whose best score is below ``least`` has score 0 and no name. Scores are computed only for names whose bound by common letters
-    allows a better one.
+    A slot whose best score is below ``least`` has score 0 and no name. On equal scores the first name by its normal form wins.
 
-    On equal scores the first name by its normal form wins. The dictionary is shipped to the tasks in blocks of
-    a bounded number of names, and the best of the blocks' answers is taken.
+    From a least score of ``fuzzy_index.LEAST`` on, pairs come from an index over letters, and neither slots nor names pass the
+    driver. Below it no index has a proven bound: scores are computed for names whose bound by common letters allows
+    a better one, and the dictionary is shipped to the tasks in blocks of a bounded number of names.
     """
     names, best = city_names(cities), None
+    if least >= fuzzy_index.LEAST:
+        found = fuzzy_index.near_cities(slots_, names).where(F.col("score") >= least)
+        return slots_.select("slot").join(found, "slot", "left").select("slot", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("city_norm", F.lit("")).alias("city_norm"), F.coalesce("city", F.lit("")).alias("city"))
     n = max(1, ceil(names.count() / block_names))
     for b in range(n):
         rows = names.where(F.pmod(F.xxhash64("city_norm"), F.lit(n)) == b).collect()
