@@ -27,12 +27,18 @@ KINDS = {
     "slack": (r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, ("xox",)),
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, ("eyj",)),
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, ("private key",)),
+    "google": (r"AIza[A-Za-z0-9_-]+", 0, 39, ("aiza",)),
+    "stripe": (r"[rs]k_live_[A-Za-z0-9]+", 0, 24, ("k_live_",)),
+    "npm": (r"npm_[A-Za-z0-9]+", 0, 40, ("npm_",)),
+    "bearer": (r"(?i:bearer)\x20+([A-Za-z0-9._~+/=-]+)", 1, 20, ("bearer",)),
+    "url": (r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20/:@?#"'<>]*:([^\x00-\x20/:@?#"'<>]+@)""", 1, 6, ("://",)),
 }
 #: A private key in whole, with its body and what ends it as the value: through the END line, without one to the end of its
-#: base64 lines, and a bare header has no value. SQL knows the header only, as its expressions cannot look ahead.
+#: base64 lines, however many, and a bare header has no value. The repeats are possessive, so the engine takes no stack for them.
+#: SQL knows the header only, as its expressions cannot look ahead.
 PEM = (
-    KINDS["pem"][0] + r"(?:\s|\\[nr])*+([^-]*+(?:-(?!----)[^-]*+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?:[A-Za-z][A-Za-z-]*:\x20[^\r\n]*+\s++){0,8}(?:[\x20\t>*#\"']*+[A-Za-z0-9+/=]{16,}+[\"',;+]*+(?:\s|\\[nr])*+){1,400}+(?:[A-Za-z0-9+/]++={0,2}(?![^\r\n\\]))?|)"
+    KINDS["pem"][0] + r"(?:\s|\\[nr])*+([^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[A-Za-z][A-Za-z-]*:\x20[^\r\n]*+\s++)*+(?:[\x20\t>*#\"']*+[A-Za-z0-9+/=]{16,}+[\"',;+]*+(?:\s|\\[nr])*+)++(?:[A-Za-z0-9+/]++={0,2}(?![^\r\n\\]))?|)"
 )
 #: What does not tell two private keys apart: the END line, blanks and escaped line ends.
 _PEM_FRAME = r"-----END[\x00-\x7F]*$|\\[nr]|\s+"
