@@ -8,7 +8,9 @@ content region. Of its lines those above the threshold stay; of the others parag
 they are links and nothing else.
 
 Names of elements and classes help: what calls itself a menu, an advert and so on counts as a line without letters, and
-does not stay; an element that calls itself an article is the region if its balance is half of the best, and stays whole else.
+does not stay; an element that calls itself an article is the region if its balance is half of the best, and stays whole else. Within an
+article a name that only holds such a word (``login-guide``, ``related-work``) decides nothing: the element goes if its lines of
+content do not outweigh its others, or if half of it is links. The ids of headings, paragraphs and the like never count.
 """
 
 from __future__ import annotations
@@ -51,6 +53,11 @@ MARKS = frozenset(
     " reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar tooltip"
     " topbar widget".split()
 )
+#: Words that may stand beside those in a name that means nothing else.
+BESIDE = frozenset(
+    "area bar block bottom box btn button buttons card center cell column container cta fixed foot global grid group head inline inner item"
+    " items left link links list lists outer page panel posts right row section section site slot small sticky the top unit user wrap wrapper zone".split()
+)
 CONTENT = frozenset("article body content main post story text".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PARAGRAPH_ENDS = BLOCKS - {"option", "optgroup", "legend", "caption", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "title"}
@@ -62,10 +69,11 @@ REGIONS = BLOCKS - TEXTUAL | {"td"}
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "unshown", "named", "in_article", "depth", "links", "balance", "first", "inside")
+    __slots__ = ("tag", "parent", "unshown", "named", "doubtful", "in_article", "depth", "links", "balance", "first", "inside")
 
-    def __init__(self, tag: str, parent: _Element | None, unshown: bool, named: bool):
+    def __init__(self, tag: str, parent: _Element | None, unshown: bool, named: bool, doubtful: bool = False):
         self.tag, self.parent, self.unshown, self.named = tag, parent, unshown, named
+        self.doubtful = self if doubtful else parent.doubtful if parent else None  # the innermost element whose name decides nothing
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
         self.depth = parent.depth + 1 if parent else 0
         self.links = tag == "a" or bool(parent and parent.links)
@@ -114,7 +122,8 @@ class _Lines(HTMLParser):
             self._close_implied("p")
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             self._close_implied(tag)
-        self.at = _Element(tag, self.at, self.at.unshown or tag in UNSHOWN, self.at.named or self._is_named(tag, attrs))
+        named, doubtful = self._is_named(tag, attrs)
+        self.at = _Element(tag, self.at, self.at.unshown or tag in UNSHOWN, self.at.named or named, doubtful)
         self.elements.append(self.at)
         self.open[tag] += 1
 
@@ -185,20 +194,24 @@ class _Lines(HTMLParser):
         super().close()
         self.flush()
 
-    def _is_named(self, tag: str, attrs) -> bool:
-        """Whether an element calls itself something that is no content."""
+    def _is_named(self, tag: str, attrs) -> tuple[bool, bool]:
+        """Whether an element calls itself something that is no content, and whether it may mean something else."""
         if tag in DROPPED or tag == "header" and not self.at.in_article:
-            return True
+            return True, False
         if tag in ("html", "body", "main", "article"):
-            return False
+            return False, False
+        doubtful = False
         for name, value in attrs:
             if name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name in ("class", "id") and value:
-                words = {w.lower() for w in _WORD.findall(value)}
-                if words & MARKS and not words & CONTENT or words & {"comment", "comments", "sidebar", "advert", "cookie"}:
-                    return True
-        return False
+                return True, False
+            if name == "class" and value or name == "id" and value and tag not in TEXTUAL:
+                for one in value.split() if self.at.in_article else [value]:
+                    words = {w.lower() for w in _WORD.findall(one)}
+                    if words & MARKS and not words & CONTENT or words & {"comment", "comments", "sidebar", "advert", "cookie"}:
+                        if not self.at.in_article or words <= MARKS | BESIDE | CONTENT:
+                            return True, False
+                        doubtful = True
+        return False, doubtful and tag not in TEXTUAL
 
 
 def _block(e: _Element) -> _Element:
@@ -256,6 +269,24 @@ def _region(parser: _Lines, content: np.ndarray) -> _Element:
     return max((e for e in able if e.balance >= SHARE * most or e is root), key=lambda e: e.depth)
 
 
+def _decide(lines: list[Line], content: np.ndarray) -> np.ndarray:
+    """Names elements whose names decide nothing by what is in them, and tells which lines go with them."""
+    held: dict[_Element, list[int]] = {}
+    for i, x in enumerate(lines):
+        e = x.element.doubtful
+        while e is not None:
+            held.setdefault(e, []).append(i)
+            e = e.parent.doubtful if e.parent else None
+    gone = np.zeros(len(lines), bool)
+    for own in held.values():
+        letters = sum(len(lines[i].text) for i in own)
+        if 2 * sum(len(lines[i].text) for i in own if content[i]) <= letters or 2 * sum(lines[i].linked for i in own) >= letters:
+            gone[own] = True
+    for i in np.flatnonzero(gone):
+        lines[i].element.named = True
+    return gone
+
+
 def main_text(html: str) -> str:
     """The article of a page, its lines joined by one blank; empty if there is none."""
     parser = _Lines()
@@ -269,6 +300,7 @@ def main_text(html: str) -> str:
     cut = _threshold(smooth)
     textual = np.array([_block(x.element).tag in TEXTUAL for x in lines])
     content = (smooth >= cut) & (textual | (ratios >= cut)) & np.array([not x.element.named for x in lines])
+    content &= ~_decide(lines, content)
     region = _region(parser, content)
     for e in parser.elements:
         e.inside = e is region or e.parent is not None and e.parent.inside

@@ -172,3 +172,14 @@ def test_elements_that_never_close():
     for html, text in (("<b>word ", "word"), ("<p>w<b>", "w"), ("<p></x>a", "a")):
         assert html_extract.main_text(html * 20_000) == " ".join([text] * 20_000)
     assert set(html_extract.main_text("<div>word " * 20_000).split()) == {"word"}
+
+
+def test_names_that_only_hold_a_mark_decide_nothing():
+    """Slugs of headings and sections within an article; menus, comments and lists of links go all the same."""
+    text = lambda word: "".join(f"<p>{(word + ' ') * 60}</p>" for _ in range(3))
+    page = (
+        '<body><div class="nav"><ul>' + "".join(f"<li><a href=x>menu {k}</a></li>" for k in range(12)) + "</ul></div><article>" + text("intro") + '<h2 id="related-work">Related work</h2>' + text("word")
+        + '<section id="header-files">' + text("files") + '</section><section id="login-guide"><h3 id="login">Login</h3>' + text("guide") + '</section><p id="cookie">crumb</p><div class="comments">' + text("nice")
+        + '</div><div id="related-articles-elsewhere"><ul><li><a href=x>one two three</a></li><li><a href=y>four five six</a></li></ul></div>' + text("last") + "</article><footer>foot</footer></body>"
+    )
+    assert list(dict.fromkeys(html_extract.main_text(page).split())) == "intro Related work word files Login guide crumb last".split()
