@@ -50,4 +50,48 @@ def test_official_wordings(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(TEXTS)], "doc_id long, text string")
     got = {r.doc_id: (r.licenses, r.sentence_ids, r.n_leftover) for r in licenses.license_matches(docs).collect()}
     assert got == {i: (names, "".join(f"<{x}>" for x in ids.split()), 0) for i, (_, names, ids) in enumerate(TEXTS)}
-    assert {x for _, _, ids in TEXTS for x in ids.split()} == set(licenses.SENTENCES)
+    assert {x for _, _, ids in TEXTS for x in ids.split()} | {i for _, _, ids in FURTHER for i in ids.split()} == set(licenses.SENTENCES) | set(licenses.SPDX)
+
+
+LESSER = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion {} of the License, or (at your option) any later version.\n"
+FURTHER = [
+    ("Copyright (c) Acme\n\n" + BSD + NAMES.replace("the copyright holder", "Acme Corp."), "BSD-3-Clause", "bsd_use bsd_source bsd_binary bsd_names"),
+    (BSD + "3. The name of the author(s) may not be used to endorse or promote products\n   derived from this software without specific prior written permission.", "BSD-3-Clause", "bsd_use bsd_source bsd_binary bsd_name"),
+    (LESSER.format("2.1"), "LGPL-2.1-or-later", "lgpl21_free"),
+    (LESSER.format("3"), "LGPL-3.0-or-later", "lgpl3_free"),
+    (GPL.replace("GNU General", "GNU Affero General").format(":", ",", 3) + HOPE, "AGPL-3.0-or-later", "agpl3_free gpl_hope"),
+    (GPL.replace("GNU General", "GNU Affero General").format(":", ",", 3), "AGPL-3.0-or-later", "agpl3_free"),
+    ("                              Apache License\n                        Version 2.0, January 2004\n                     http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.", "Apache-2.0", "apache_terms"),
+    ("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n", "GPL-3.0-only", "gpl3_text"),
+    ("GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n", "GPL-2.0-only", "gpl2_text"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n", "LGPL-3.0-only", "lgpl3_text"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999\n", "LGPL-2.1-only", "lgpl21_text"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007\n", "AGPL-3.0-only", "agpl3_text"),
+    ("Mozilla Public License Version 2.0\n====\n", "MPL-2.0", "mpl_text"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free", "Unlicense", "unlicense"),
+    ("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available", "EPL-2.0", "epl_under"),
+    ("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\n\n", "EPL-2.0", "epl_under"),
+    ("Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE\n    PUBLIC LICENSE (\"AGREEMENT\"). ANY USE", "EPL-2.0", "epl_text"),
+    ("Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE", "CC0-1.0", "cc0_text"),
+    ("To the extent possible under law, A. N. Other has waived all copyright and related or neighboring rights to\nthis work.", "CC0-1.0", "cc0_under"),
+    ("This project is licensed under the MIT License - see the LICENSE file.", "MIT", "mit_project"),
+    ("This project is licensed under the Apache License 2.0 (see LICENSE).", "Apache-2.0", "apache_project"),
+    ("It is free, licensed under the MIT License, and small.", "MIT", "mit_under"),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0\nx", "MIT,Apache-2.0", "spdx_mit spdx_apache"),
+    ("SPDX-License-Identifier: (LGPL-2.1-only OR GPL-3.0-or-later) AND ISC", "GPL-3.0-or-later,LGPL-2.1-only,ISC", "spdx_lgpl21 spdx_gpl3_later spdx_isc"),
+    *((f"# SPDX-License-Identifier: {name}\n", name, i) for i, name in licenses.SPDX.items()),
+]
+
+
+def test_further_wordings_and_their_sql(spark, tmp_path):
+    every = TEXTS + FURTHER
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(every)], "doc_id long, text string")
+    got = {r.doc_id: (set(r.licenses.split(",")), r.sentence_ids) for r in licenses.license_matches(docs).collect()}
+    assert got == {i: (set(names.split(",")), "".join(f"<{x}>" for x in ids.split())) for i, (_, names, ids) in enumerate(every)}
+    import duckdb
+
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+        wanted = {i: (names, ids) for i, ids, names, _, _ in con.execute(licenses.op2_oracle()).fetchall()}
+    assert wanted == {r.doc_id: (r.licenses, r.sentence_ids) for r in licenses.license_matches(docs).collect()}
