@@ -391,6 +391,11 @@ def station_profile(spark: SparkSession, d: str) -> DataFrame:
     return stations.profile(view(spark, d, "raw_stations"))
 
 
+@_query()
+def station_sketches(spark: SparkSession, d: str) -> DataFrame:
+    return stations.sketched_profile(view(spark, d, "raw_stations"))
+
+
 @_query("SELECT * FROM {raw_stations} ORDER BY station_name NULLS FIRST, trigram NULLS FIRST, position NULLS FIRST, uic_code NULLS FIRST LIMIT 5", "raw_stations")
 def station_first_rows(spark: SparkSession, d: str) -> DataFrame:
     return stations.first_rows(view(spark, d, "raw_stations"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.operators.extract import parse_orders
+from orderflow.operators.lookup import looked_up
 from orderflow.operators.stations import hub_of_city
 from orderflow.operators.timetable import MOST_LEGS, answers_between, named, stops_of_stations
 from orderflow.sources.scratch import stored
@@ -40,7 +41,7 @@ def answer_triplets(triplets: DataFrame, stations: DataFrame, timetable: dict[st
     found = answers_between(pairs, places, timetable["stop_times"], most_legs)
     found = named(found, timetable, {"trip1": "route1", "trip2": "route2"}, {"from_stop": "from_name", "transfer_stop": "transfer_name", "to_stop": "to_name"})
     found = found.withColumns({"departure": F.col("query_id.from_place"), "destination": F.col("query_id.to_place")}).drop("query_id")
-    return rows.join(found, ["departure", "destination"], "left").withColumn("kind", F.coalesce("kind", F.lit("none"))).select(*ANSWERS)
+    return looked_up(rows, found, ["departure", "destination"]).withColumn("kind", F.coalesce("kind", F.lit("none"))).select(*ANSWERS)
 
 
 def answer_orders(

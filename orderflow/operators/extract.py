@@ -15,6 +15,7 @@ from orderflow.functions.fuzzy import best_matches
 from orderflow.functions.text import clean_slot, norm_ascii, stripped
 from orderflow.operators import fuzzy_index
 from orderflow.operators.containment import held_by
+from orderflow.operators.lookup import heavy_keys, looked_up
 from orderflow.sources.scratch import spread, stored
 
 # Fixed values.
@@ -128,7 +129,9 @@ def parsed_rows(orders: DataFrame, cities: DataFrame) -> DataFrame:
     used = stored(cut.select(F.explode(F.array("dep_slot", "dest_slot")).alias("slot")).where("slot IS NOT NULL").distinct())
     known = stored(match_cities(used, cities).where("city IS NOT NULL"))
     side = lambda name, slot: known.select(F.col("slot").alias(slot), F.col("city").alias(name))
-    both = cut.join(side("departure", "dep_slot"), "dep_slot", "left").join(side("destination", "dest_slot"), "dest_slot", "left")
+    heavy = heavy_keys(cut, ["dep_slot"], ["dest_slot"])
+    both = looked_up(cut, side("departure", "dep_slot"), ["dep_slot"], heavy[0])
+    both = looked_up(both, side("destination", "dest_slot"), ["dest_slot"], heavy[1])
     ok = F.coalesce(F.col("departure") != F.col("destination"), F.lit(False))
     return both.select("row", F.when(ok, F.col("departure")).alias("departure"), F.when(ok, F.col("destination")).alias("destination"))
 

@@ -125,6 +125,39 @@ def profile(rows: DataFrame) -> DataFrame:
     return one.select(F.explode(each).alias("r")).select("r.*")
 
 
+def sketched_profile(rows: DataFrame, log_registers: int = 14) -> DataFrame:
+    """One row per column: ``column, n_rows, n_null, n_different, least_length, median_length, greatest_length``, from one pass without a
+    shuffle of values.
+
+    Counts of rows and nulls and the least and greatest length are exact; different values are counted by mergeable HyperLogLog sketches (a
+    standard error of ``1.04 / 2^(log_registers / 2)``, 0.8 percent), the median length of the text by a KLL sketch (a rank error
+    of about 1.3 percent). A column without values has 0 different ones and null lengths. What is sent is a few KB for each column and
+    task, however many values there are; ``profile`` counts exactly.
+    """
+    asked = [F.count("*").alias("n")]
+    for i, c in enumerate(rows.columns):
+        text = F.col(f"`{c}`").cast("string")
+        length = F.length(text).cast("long")
+        asked += [
+            F.count_if(text.isNull()).alias(f"null{i}"),
+            F.hll_sketch_agg(text, log_registers).alias(f"diff{i}"),
+            F.min(length).alias(f"least{i}"),
+            F.max(length).alias(f"most{i}"),
+            F.kll_sketch_agg_bigint(length).alias(f"kll{i}"),
+        ]
+    one = rows.agg(*asked)
+    row = lambda i, c: F.struct(
+        F.lit(c).alias("column"),
+        F.col("n").alias("n_rows"),
+        F.col(f"null{i}").alias("n_null"),
+        F.coalesce(F.hll_sketch_estimate(f"diff{i}"), F.lit(0)).cast("long").alias("n_different"),
+        F.col(f"least{i}").alias("least_length"),
+        F.when(F.col(f"least{i}").isNotNull(), F.kll_sketch_get_quantile_bigint(F.col(f"kll{i}"), F.lit(0.5))).alias("median_length"),
+        F.col(f"most{i}").alias("greatest_length"),
+    )
+    return one.select(F.explode(F.array(*(row(i, c) for i, c in enumerate(rows.columns)))).alias("r")).select("r.*")
+
+
 def first_rows(rows: DataFrame, n: int = 5) -> DataFrame:
     """The first rows in the order of the columns, nulls first."""
     return rows.orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in rows.columns)).limit(n)
