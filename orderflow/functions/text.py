@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderflow.functions.scripts import has_other_script, in_latin
+
 _LETTERS = [chr(c) for c in range(0xC0, 0x250)]
 
 
@@ -52,9 +54,10 @@ def _in_ascii(low: Column) -> Column:
 def norm_ascii(s: Column) -> Column:
     """Lower-case ASCII letters, digits, hyphens and apostrophes, single blanks.
 
-    Latin letters are transliterated; other scripts become blanks.
+    Latin letters and those of the scripts of ``functions.scripts`` are transliterated; further scripts become blanks.
     """
     low = F.lower(s)
+    low = F.when(has_other_script(low), in_latin(low)).otherwise(low)
     low = F.when(low.rlike(r"[^\x00-\x7F]"), _in_ascii(low)).otherwise(low)
     return F.btrim(F.regexp_replace(low, r"[^a-z0-9\-']+", " "))
 

@@ -12,7 +12,7 @@ from orderflow.jobs.schedule import ANSWERS, answer_orders
 from orderflow.jobs.views import view, with_views
 from orderflow.operators import confidence, evaluate, extract, gazetteer, generate, itinerary, stations, timetable
 from orderflow.sources import tables
-from orderflow.sources.scratch import scratch
+from orderflow.sources.scratch import scratch, stored
 from orderflow.streaming import orders as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -722,6 +722,19 @@ def noisy_dataset(spark: SparkSession, d: str) -> DataFrame:
     return generate.noisy_orders(view(spark, d, "orders").select(F.col("o_orderkey").alias("id")), view(spark, d, "cities"))
 
 
+@_query()
+def noisy_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """The whole flow on noisy orders: acceptance of each way to find the pair, with its commonest reason of failure."""
+    noisy, cities = stored(noisy_dataset(spark, d)), view(spark, d, "cities")
+    each = []
+    for mode in ("baseline", "gazetteer"):
+        found = stored(confidence.resolve(noisy, cities, _stations(spark, d), mode=mode).select("ok", "reason"))
+        first = evaluate.failure_reasons(found, 1).select(F.lit(mode).alias("mode"), F.col("reason").alias("main_reason"))
+        each.append(evaluate.rates(found).withColumn("mode", F.lit(mode)).join(first, "mode", "left"))
+    rows = each[0].unionByName(each[1])
+    return rows.select("mode", "n", "n_ok", "n_invalid", *(F.round(c, 6).alias(c) for c in ("ok_percent", "invalid_percent")), "main_reason")
+
+
 @_query("SELECT order_id AS sentence_id, sentence, expected_dep, expected_dest, expected_valid FROM {labelled}", "labelled")
 def labelled_rows(spark: SparkSession, d: str) -> DataFrame:
     """Labelled rows written as CSV and read back."""
