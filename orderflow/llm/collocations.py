@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
 
 import duckdb
 import numpy as np
@@ -29,7 +30,7 @@ COVERED = 50
 FIRST = 2000
 #: Memory of a task's duckdb; what is beyond goes to the task's temporary folder and is deleted with it.
 MEMORY = "300MB"
-#: Bits of the map of frequent pairs. Triples with a pair that the map lacks are not counted; a full map lets all pass.
+#: Bits of the maps of frequent words and pairs. Longer phrases with a part that the map lacks are not counted; a full map lets all pass.
 MAP_BITS = 26
 #: Requests for a part that one task answers.
 LOT = 4096
@@ -69,56 +70,59 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return each[coded.indices.to_numpy()]
 
 
-def _of_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of words from the words' hashes; their first bits are the place in the map."""
-    mixed = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F)
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of so many words (one or two) from the words' hashes; their first bits are the place in the map."""
+    mixed = words * np.uint64(0x9E3779B97F4A7C15)
+    if size == 2:
+        mixed = mixed[:-1] + words[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], frequent: np.ndarray | None = None):
-    """The phrases of so many words of a batch of pieces, with the pieces' multiplicity. ``frequent`` is a map of pairs; triples
-    with a pair that is not in it are left out."""
+def phrases(batch: pa.RecordBatch, size: int, frequent: np.ndarray | None = None) -> pa.RecordBatch:
+    """The phrases of ``size`` words of a batch of pieces, with the pieces' multiplicity. ``frequent`` is a map of phrases of one word
+    less; what has a part that is not in it is left out."""
     split = pc.split_pattern(batch.column("piece"), " ")
     words, length = split.flatten(), pc.list_value_length(split).to_numpy()
     piece = np.repeat(np.arange(len(length)), length)
     left = np.cumsum(length)[piece] - np.arange(len(piece))  # words from here to the end of the piece
-    known = None
-    if frequent is not None and len(words) > 1:
-        hashes = _hashes(words)
-        at = _of_pairs(hashes[:-1], hashes[1:]) >> np.uint64(65 - (64 * len(frequent)).bit_length())
-        known = np.append((frequent[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1), np.uint64(0)).astype(bool)
-    for size in sizes:
-        start = left >= size
-        if size == 3 and frequent is not None:
-            start &= known & np.append(known[1:], False) if known is not None else False
-        start = np.flatnonzero(start)
-        parts = [words.take(pa.array(start + k)) for k in range(size)]
-        joined = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
-        yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(piece[start])), joined, batch.column("m").take(pa.array(piece[start]))], ["lang", "phrase", "f"])
-
-
-def counted(parts: DataFrame, sizes: tuple[int, ...], least: int, frequent: np.ndarray | None = None) -> DataFrame:
-    """``lang, phrase, f`` of the phrases of so many words that occur ``least`` times or more in ``parts`` (``lang, piece, m``)."""
+    start = np.flatnonzero(left >= size)
+    if frequent is not None and len(start):
+        at = _runs(_hashes(words), size - 1) >> np.uint64(65 - (64 * len(frequent)).bit_length())
+        known = ((frequent[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+        start = start[known[start] & known[start + 1]]
+    parts = [words.take(pa.array(start + k)) for k in range(size)]
+    joined = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
+    return pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(piece[start])), joined, batch.column("m").take(pa.array(piece[start]))], ["lang", "phrase", "f"])
+
+
+def counted(parts: DataFrame, size: int, least: int, frequent: np.ndarray | None = None) -> DataFrame:
+    """``lang, phrase, f`` of the phrases of ``size`` words that occur ``least`` times or more in ``parts`` (``lang, piece, m``)."""
     sent = None if frequent is None else parts.sparkSession.sparkContext.broadcast(frequent)
 
     def of_task(batches):
         own = None if sent is None else sent.value
         small = (s for b in batches for s in text_slices(b, "piece", 1 << 20))
-        yield from added_up((p for s in small for p in phrases(s, sizes, own)), 1)
+        yield from added_up((phrases(s, size, own) for s in small), 1)
 
     partial = parts.select("lang", "piece", "m").mapInArrow(of_task, _COUNTS)
     return partial.repartition("lang", "phrase").mapInArrow(lambda batches: added_up(batches, least), _COUNTS)
 
 
 @F.arrow_udf(LongType())
-def _hash_of_pair(phrase: pa.Array) -> pa.Array:
-    split = pc.split_pattern(phrase, " ")
-    return pa.array(_of_pairs(_hashes(pc.list_element(split, 0)), _hashes(pc.list_element(split, 1))).view(np.int64))
+def _hash_of_words(phrase: pa.Array) -> pa.Array:
+    return pa.array(_runs(_hashes(phrase), 1).view(np.int64))
 
 
-def map_of_pairs(pairs: DataFrame) -> np.ndarray:
-    """A bit for each place that a pair of ``pairs`` (``phrase``) has: 8 MB, however many there are."""
-    at = pairs.select(F.shiftrightunsigned(_hash_of_pair("phrase"), 64 - MAP_BITS).alias("at"))
+@F.arrow_udf(LongType())
+def _hash_of_pairs(phrase: pa.Array) -> pa.Array:
+    both = pc.split_pattern(phrase, " ").flatten()
+    return pa.array(_runs(_hashes(both), 2)[::2].view(np.int64))
+
+
+def map_of(frequent: DataFrame, size: int) -> np.ndarray:
+    """A bit for each place that a ``phrase`` of one or two words has: 8 MB, however many there are."""
+    hashed = (_hash_of_words if size == 1 else _hash_of_pairs)("phrase")
+    at = frequent.select(F.shiftrightunsigned(hashed, 64 - MAP_BITS).alias("at"))
     bits = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     out[bits.column("i").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
@@ -185,12 +189,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     parts = written(pieces(docs, text_col, lang_col), "pieces")
     total = parts.groupBy("lang").agg(F.sum(F.col("m") * F.col("n_words")).alias("n"))
-    short = written(counted(parts, (1, 2), least), "counts")
-    pairs = map_of_pairs(short.where("instr(phrase, ' ') > 0"))
-    triples = written(counted(parts.where("n_words > 2"), (3,), least, pairs), "counts")
-    found = written(scored(short.unionByName(triples)), "scored")
+    counts = [written(counted(parts, 1, least), "counts")]
+    for size in (2, 3):
+        known = map_of(counts[-1], size - 1)
+        counts.append(written(counted(parts.where(F.col("n_words") >= size), size, least, known), "counts"))
+    found = written(scored(reduce(DataFrame.unionByName, counts)), "scored")
     best = written(ranked(uncovered(found), first).join(total, "lang"), "best")
-    for done in (parts, short, triples, found):
+    for done in (parts, *counts, found):
         drop_written(done)
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
