@@ -255,8 +255,8 @@ def fuzzy_slots(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def fuzzy_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Mistyped part words against the dictionary, at the score from which orders are accepted."""
-    return extract.fuzzy_cities(_typos(spark, d), view(spark, d, "cities"), extract.LEAST_SCORE).select("slot", F.round("score", 6).alias("score"), "city")
+    """Mistyped part words against the dictionary by the index, at the score from which orders are accepted."""
+    return extract.fuzzy_cities(_typos(spark, d), view(spark, d, "cities"), extract.LEAST_SCORE, indexed=True).select("slot", F.round("score", 6).alias("score"), "city")
 
 
 @_query(f"WITH {_PARSED_SQL} SELECT * FROM parsed", "orders_text", "cities")

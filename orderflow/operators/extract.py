@@ -78,20 +78,22 @@ def contained_cities(slots_: DataFrame, cities: DataFrame) -> DataFrame:
     return met.groupBy("slot").agg(F.count("*").alias("n_cities"), F.min("city").alias("city")).select("slot", F.when(F.col("n_cities") == 1, F.col("city")).alias("city"), "n_cities")
 
 
-def fuzzy_cities(slots_: DataFrame, cities: DataFrame, least: float = 0.0, block_names: int = BLOCK_NAMES) -> DataFrame:
+def fuzzy_cities(slots_: DataFrame, cities: DataFrame, least: float = 0.0, block_names: int = BLOCK_NAMES, indexed: bool | None = None) -> DataFrame:
     """Different normal ``slot`` values to their best name ``slot, score, city_norm, city``.
 
     A slot whose best score is below ``least`` has score 0 and no name. On equal scores the first name by its normal form wins.
 
-    From a least score of ``fuzzy_index.LEAST`` on, pairs come from an index over letters, and neither slots nor names pass the
-    driver. Below it no index has a proven bound: scores are computed for names whose bound by common letters allows
-    a better one, and the dictionary is shipped to the tasks in blocks of a bounded number of names.
+    A dictionary of more than ``BLOCK_NAMES`` names is searched, from a least score of ``fuzzy_index.LEAST`` on, by an index over letters; neither
+    slots nor names pass the driver (``indexed`` decides in place of the size). A smaller one is counted and goes to all tasks, where scores are
+    computed for names whose bound by common letters allows a better one, the best first; where nearly all names are alike, that is
+    less than their pairs. Below that score no index has a proven bound, and a larger dictionary goes in blocks.
     """
     names, best = city_names(cities), None
-    if least >= fuzzy_index.LEAST:
+    size = names.count() if indexed is None else None
+    if indexed or least >= fuzzy_index.LEAST and size is not None and size > BLOCK_NAMES:
         found = fuzzy_index.near_cities(slots_, names).where(F.col("score") >= least)
         return slots_.select("slot").join(found, "slot", "left").select("slot", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("city_norm", F.lit("")).alias("city_norm"), F.coalesce("city", F.lit("")).alias("city"))
-    n = max(1, ceil(names.count() / block_names))
+    n = max(1, ceil((names.count() if size is None else size) / block_names))
     for b in range(n):
         rows = names.where(F.pmod(F.xxhash64("city_norm"), F.lit(n)) == b).collect()
         known = [(k, r.city_norm, r.city) for k, r in enumerate(sorted(rows, key=lambda r: r.city_norm))]

@@ -17,12 +17,14 @@ words. From that:
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from orderflow.functions.fuzzy import weighted_ratio
+from orderflow.sources.scratch import stored
 
 LEAST = 85.0
 #: Of the grams of either string, the least share that is common at near lengths.
@@ -105,9 +107,43 @@ def _score(slot: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio(a, b) for a, b in zip(slot, name, strict=True)], dtype=float)
 
 
+def _letters(strings: np.ndarray) -> np.ndarray:
+    """How often each string has each letter, letters of the same last six bits taken for one."""
+    out = np.zeros((len(strings), 64), np.int16)
+    for row, s in zip(out, strings, strict=True):
+        np.add.at(row, np.frombuffer(s.encode("utf-32-le"), np.uint32) & 63, 1)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _bound(slot: pd.Series, name: pd.Series) -> pd.Series:
+    """A score that ``weighted_ratio`` cannot exceed: a common subsequence has common letters only, and only a word that both
+    have, or that one repeats, may lift the score to 100."""
+    (x, own), (y, other) = pd.factorize(slot), pd.factorize(name)
+    own, other = np.asarray(own, object), np.asarray(other, object)
+    a, b = (np.array([len(s) for s in v], np.int32)[k] for v, k in ((own, x), (other, y)))
+    common = np.minimum(_letters(own)[x], _letters(other)[y]).sum(axis=1)
+    short, long = np.minimum(a, b), np.maximum(a, b)
+    gap = long / np.maximum(short, 1)
+    out = 200 * common / np.maximum(a + b, 1)
+    part = np.where(gap <= FAR, 0.9, 0.6) * 200 * common / np.maximum(short + common, 1)
+    out = np.where(gap < NEAR, out, np.maximum(out, part))
+    many = np.array([" " in s for s in own])[x] | np.array([" " in s for s in other])[y]
+    for i in np.flatnonzero(many):
+        v, w = own[x[i]].split(), other[y[i]].split()
+        if not set(v).isdisjoint(w) or len(set(v)) < len(v) or len(set(w)) < len(w):
+            out[i] = 100
+    return pd.Series(out + 1e-9)
+
+
 def near_cities(slots: DataFrame, names: DataFrame) -> DataFrame:
     """Different ``slot`` values and names ``city_norm, city`` to the best name ``slot, score, city_norm, city`` of those slots that have
     one of score ``LEAST`` or more; of equals the first by its normal form."""
-    scored = candidates(slots.select("slot"), names.select("city_norm")).withColumn("score", _score("slot", "city_norm")).where(F.col("score") >= LEAST)
+    bound = stored(candidates(slots.select("slot"), names.select("city_norm")).withColumn("bound", _bound("slot", "city_norm")).where(F.col("bound") >= LEAST))
+    # the name of the highest bound is scored first, and then only those that may be better
+    first = bound.groupBy("slot").agg(F.max(F.struct("bound", "city_norm")).alias("f")).select("slot", F.col("f.city_norm").alias("city_norm"))
+    first = stored(first.withColumn("score", _score("slot", "city_norm")))
+    rest = bound.join(first.select("slot", F.col("city_norm").alias("tried"), F.col("score").alias("least")), "slot").where("bound >= least AND city_norm != tried")
+    scored = first.unionByName(rest.select("slot", "city_norm", _score("slot", "city_norm").alias("score"))).where(F.col("score") >= LEAST)
     best = scored.groupBy("slot").agg(F.min(F.struct((-F.col("score")).alias("s"), "city_norm")).alias("b")).select("slot", (-F.col("b.s")).alias("score"), "b.city_norm")
     return best.join(names.select("city_norm", "city"), "city_norm").select("slot", "score", "city_norm", "city")

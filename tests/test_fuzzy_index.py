@@ -89,7 +89,8 @@ def test_rows_of_the_registered_queries(spark):
 
 
 def test_names_do_not_pass_the_driver(spark, monkeypatch):
-    """No block of the dictionary is collected where orders are parsed."""
+    """No block of a larger dictionary is collected where orders are parsed."""
+    monkeypatch.setattr(extract, "BLOCK_NAMES", 1)
     monkeypatch.setattr(extract, "best_matches", None)
     slots = spark.createDataFrame([("toulosue",), ("lion",), ("nowhere at all",)], "slot string")
     cities = spark.createDataFrame([("Toulouse",), ("Lyon",)], "city string")
