@@ -11,7 +11,7 @@ from orderflow.functions import geo, text
 from orderflow.jobs.schedule import ANSWERS, answer_orders
 from orderflow.jobs.views import view, with_views
 from orderflow.operators import confidence, evaluate, extract, gazetteer, generate, itinerary, stations, timetable
-from orderflow.sources import tables
+from orderflow.sources import records, tables
 from orderflow.sources.scratch import scratch, stored
 from orderflow.streaming import orders as streams
 
@@ -639,6 +639,33 @@ def error_listing(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.errors(_judged(spark, d), "order_id")
 
 
+@_query(
+    f"""WITH {_JUDGED_SQL} SELECT order_id AS sentence_id, sentence, outcome, expected_dep, expected_dest, departure, destination FROM judged WHERE outcome NOT IN ('TP', 'TN')
+    ORDER BY CAST(order_id AS BIGINT) DESC LIMIT 20""",
+    "labelled", "orders_text", "cities",
+)
+def errors_in_input_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first errors of labelled files as they stand there: several files, written from the last number to the first."""
+    path = scratch(spark)
+    rows = view(spark, d, "labelled").withColumnRenamed("order_id", "sentence_id").orderBy(F.col("sentence_id").cast("long").desc())
+    tables.write_csv(rows.select("sentence_id", "sentence", "expected_dep", "expected_dest", "expected_valid"), path)
+    found = extract.parsed_rows(tables.labelled_rows(spark, path, placed=True), view(spark, d, "cities"))
+    return evaluate.errors(evaluate.outcomes(found.select("row.*", "departure", "destination")), "sentence_id", order=("place",))
+
+
+@_query(
+    f"""WITH {_PARSED_SQL}, l AS (SELECT order_id, concat_ws(',', order_id, CASE WHEN status = 'OK' THEN concat_ws(',', departure, destination) ELSE status END) AS line FROM parsed)
+    SELECT row_number() OVER (ORDER BY CAST(order_id AS BIGINT) DESC) AS line_no, line FROM l""",
+    "orders_text", "cities",
+)
+def answers_in_input_order(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines of several files, last number first, to numbered answer lines in input order, without a sort in one task."""
+    path = scratch(spark)
+    view(spark, d, "orders_text").orderBy(F.col("order_id").cast("long").desc()).select(F.concat_ws(",", "order_id", "sentence").alias("value")).write.text(path)
+    orders = tables.order_lines(records.placed_lines(spark, path))
+    return records.numbered(tables.order_answers(extract.parse_orders(orders, view(spark, d, "cities")))).select("line_no", "line")
+
+
 @_query(
     f"""WITH {_PARSED_SQL} SELECT count(*) AS n, count(*) FILTER (status = 'OK') AS n_ok, count(*) FILTER (status <> 'OK') AS n_invalid,
     round(100 * count(*) FILTER (status = 'OK') / count(*), 6) AS ok_percent, round(100 * count(*) FILTER (status <> 'OK') / count(*), 6) AS invalid_percent FROM parsed""",
@@ -782,6 +809,25 @@ def timetable_folder(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("trip_id", "stop_sequence", "departure_time", F.coalesce("route_id", F.lit("")).alias("route_id"), "stop_name", "stop_code", norm.alias("norm"))
 
 
+@_query(
+    """SELECT t.trip_id, t.stop_sequence, t.departure_time, concat(stop_name, chr(10), '"Nord", quai ', stop_code) AS stop_name, concat('Ligne', chr(10), coalesce(r.route_id, '')) AS route_id
+    FROM stop_times__v t JOIN stops__v USING (stop_id) LEFT JOIN trips__v r ON r.trip_id = t.trip_id""",
+    "stop_times", "stops", "trips",
+)
+def timetable_line_ends(spark: SparkSession, d: str) -> DataFrame:
+    """A timetable whose fields hold line ends, quotes and commas, with columns that are not used, written as text files and read again."""
+    base = scratch(spark)
+    name = F.concat("stop_name", F.lit('\n"Nord", quai '), "stop_code")
+    trips = view(spark, d, "trips").withColumn("route_id", F.concat(F.lit("Ligne\n"), "route_id"))
+    out = {"stops": view(spark, d, "stops").select(F.lit("a,\nb").alias("stop_desc"), "stop_id", name.alias("stop_name"), "stop_code")}
+    out |= {"stop_times": view(spark, d, "stop_times"), "trips": trips, "routes": trips.select("route_id").distinct()}
+    for table, rows in out.items():
+        tables.write_csv(rows, f"{base}/{table}.txt")
+    known = tables.timetable(spark, base)
+    joined = known["stop_times"].join(known["stops"], "stop_id").join(known["trips"], "trip_id", "left")
+    return joined.select("trip_id", "stop_sequence", "departure_time", "stop_name", F.coalesce("route_id", F.lit("Ligne\n")).alias("route_id"))
+
+
 @_query("SELECT city FROM {cities}", "cities")
 def dictionary_file(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark)

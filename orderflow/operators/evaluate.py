@@ -35,10 +35,10 @@ def scores(judged: DataFrame) -> DataFrame:
     return shares.withColumn("f1", F.when(p + r == 0, 0.0).otherwise(2 * p * r / F.nullif(p + r, F.lit(0.0))))
 
 
-def errors(judged: DataFrame, id_col: str, limit: int = 20) -> DataFrame:
-    """The first errors by id, with what was expected and what was found."""
+def errors(judged: DataFrame, id_col: str, limit: int = 20, order: tuple[str, ...] = ()) -> DataFrame:
+    """The first errors, with what was expected and what was found: by the columns ``order`` (a place gives input order), else by id."""
     wrong = judged.where(~F.col("outcome").isin("TP", "TN"))
-    return wrong.orderBy(id_col).limit(limit).select(id_col, "sentence", "outcome", "expected_dep", "expected_dest", "departure", "destination")
+    return wrong.orderBy(*(order or (id_col,))).limit(limit).select(id_col, "sentence", "outcome", "expected_dep", "expected_dest", "departure", "destination")
 
 
 def rates(resolved: DataFrame) -> DataFrame:

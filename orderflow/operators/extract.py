@@ -143,12 +143,13 @@ def parse_orders(orders: DataFrame, cities: DataFrame) -> DataFrame:
 
     ``status`` is OK, or INVALID: then the pair is null, because no pattern fits, a slot names no
     city or several, or both name the same. A status that is given and is not OK stays. A null or empty
-    sentence is INVALID; null and repeated ids are given as they come.
+    sentence is INVALID; null and repeated ids are given as they come. A ``place`` that is given stays.
     """
     status = F.when(F.col("departure").isNotNull(), F.lit("OK")).otherwise(F.lit("INVALID"))
     if "status" in orders.columns:
         status = F.when(F.col("row.status") != "OK", F.col("row.status")).otherwise(status)
-    return parsed_rows(orders, cities).select("row.order_id", "row.sentence", "departure", "destination", status.alias("status"))
+    place = [F.col("row.place").alias("place")] if "place" in orders.columns else []
+    return parsed_rows(orders, cities).select("row.order_id", "row.sentence", "departure", "destination", status.alias("status"), *place)
 
 
 def route_cities(orders: DataFrame) -> DataFrame:

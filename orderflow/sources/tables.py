@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderflow.functions.text import coordinates, norm_french, stripped
+from orderflow.sources.records import PLACE, csv_records
 
 LABELLED = "sentence_id string, sentence string, expected_dep string, expected_dest string, expected_valid int"
 # Headers of the raw station list and our names for them.
@@ -23,7 +24,7 @@ def order_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """``id,sentence`` lines, cut at the first comma, to ``order_id, sentence, status``; blank lines go.
 
     A line without a comma keeps its whole text as id and has status INVALID_FORMAT. Blanks of any kind are no part of an id
-    or a sentence at their ends.
+    or a sentence at their ends. ``place`` is kept where lines have one (``records.placed_lines``).
     """
     line = stripped(F.col(col))
     parts, has = F.split(line, ",", 2), F.contains(line, F.lit(","))
@@ -31,6 +32,7 @@ def order_lines(lines: DataFrame, col: str = "value") -> DataFrame:
         stripped(parts[0]).alias("order_id"),
         F.when(has, stripped(F.get(parts, F.lit(1)))).alias("sentence"),
         F.when(has, F.lit("OK")).otherwise(F.lit("INVALID_FORMAT")).alias("status"),
+        *(c for c in lines.columns if c == "place"),
     )
 
 
@@ -47,11 +49,18 @@ def valid_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.where(~F.contains(F.col(col), F.lit(",INVALID")))
 
 
-def labelled_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled sentences of a CSV file with header; a blank expectation is null."""
-    rows = spark.read.schema(LABELLED).option("header", True).option("escape", '"').csv(path)
+def labelled_rows(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
+    """Labelled sentences of CSV files with header; a blank expectation is null.
+
+    With ``placed`` rows have a ``place`` that sorts them in input order, sentences may hold line ends, and columns are found by name.
+    """
     blank = lambda c: F.nullif(stripped(F.col(c)), F.lit("")).alias(c)
-    return rows.select("sentence_id", "sentence", blank("expected_dep"), blank("expected_dest"), "expected_valid")
+    if placed:
+        rows = csv_records(spark, path, tuple(c.split()[0] for c in LABELLED.split(", ")))
+        rows = rows.withColumns({"expected_valid": F.expr("try_cast(expected_valid AS INT)"), "place": F.struct(*PLACE)})
+    else:
+        rows = spark.read.schema(LABELLED).option("header", True).option("escape", '"').csv(path)
+    return rows.select("sentence_id", "sentence", blank("expected_dep"), blank("expected_dest"), "expected_valid", *(["place"] if placed else []))
 
 
 def benchmark_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -95,12 +104,9 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def timetable(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of a timetable folder, all columns as text; quoted fields may hold commas and quotes, but no line ends, so
-    that large files are read in parts."""
-    reader = spark.read.option("header", True).option("escape", '"')
-    read = {t: reader.csv(f"{folder}/{t}.txt") for t in TIMETABLE}
-    read = {t: rows.toDF(*(c.replace("\ufeff", "").strip() for c in rows.columns)) for t, rows in read.items()}
-    return timetable_of(**read)
+    """The tables of a timetable folder, all columns as text; quoted fields may hold commas, quotes and line ends, and large files
+    are read in parts all the same. Only columns that are used are read."""
+    return timetable_of(**{t: csv_records(spark, f"{folder}/{t}.txt", columns) for t, columns in TIMETABLE.items()})
 
 
 def timetable_of(stops: DataFrame, stop_times: DataFrame, trips: DataFrame, routes: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -128,9 +134,10 @@ def dictionary(spark: SparkSession, path: str, comments: bool = False) -> DataFr
 
 
 def order_answers(orders: DataFrame) -> DataFrame:
-    """``order_id, status, departure, destination`` to one line each: the pair, or the reason why there is none."""
+    """``order_id, status, departure, destination`` to one line each: the pair, or the reason why there is none. ``place`` is kept if there."""
     pair = F.concat_ws(",", "order_id", "departure", "destination")
-    return orders.select("order_id", F.when(F.col("status") == "OK", pair).otherwise(F.concat_ws(",", "order_id", "status")).alias("line"))
+    line = F.when(F.col("status") == "OK", pair).otherwise(F.concat_ws(",", "order_id", "status"))
+    return orders.select("order_id", line.alias("line"), *(c for c in orders.columns if c == "place"))
 
 
 def schedule_lines(answers: DataFrame) -> DataFrame:
