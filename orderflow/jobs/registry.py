@@ -844,6 +844,18 @@ def stream_orders(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("order_id string, line string").parquet(f"{base}/out/*")
 
 
+@_query(_SQL["stream_orders"])
+def stream_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The order lines as one streaming plan with known pairs of slots in the state store: half of the files, and then, started again, the rest."""
+    base, rows = scratch(spark), view(spark, d, "orders_text")
+    for half in (0, 1):
+        part = rows.where(F.pmod(F.col("order_id").cast("long"), F.lit(2)) == half)
+        part.select(F.concat_ws(",", "order_id", "sentence").alias("value")).write.mode("append").text(f"{base}/in")
+        answers = streams.answered_lines(streams.order_stream(spark, f"{base}/in"), view(spark, d, "cities"))
+        streams.append_stream(answers, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.schema("order_id string, line string").parquet(f"{base}/out")
+
+
 @_query(f"WITH {_FLAGSHIP_SQL} {_LINES_SQL}", *_FLAGSHIP_VIEWS)
 def stream_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of cities that arrive as lines in files, answered with schedule lines in micro-batches."""

@@ -6,12 +6,14 @@ rows and not ids: ids may be null or repeated, and every row of the input has it
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.functions.fuzzy import best_matches
+from orderflow.functions.fuzzy import Names, best_matches
 from orderflow.functions.text import clean_slot, norm_ascii, stripped
 from orderflow.operators import fuzzy_index
 from orderflow.operators.containment import held_by
@@ -120,6 +122,44 @@ def match_cities(slots_: DataFrame, cities: DataFrame) -> DataFrame:
     return own.join(found.withColumnRenamed("slot", "norm"), "norm", "left").select("slot", "city")
 
 
+class SlotMatcher:
+    """``match_cities`` for one normal slot after another, for streams: the dictionary goes to each task, so it has at most ``BLOCK_NAMES`` names.
+
+    ``digest`` tells dictionaries apart.
+    """
+
+    def __init__(self, cities: DataFrame):
+        rows = city_names(cities).limit(BLOCK_NAMES + 1).collect()
+        if len(rows) > BLOCK_NAMES:
+            raise ValueError(f"a stream's own matching takes up to {BLOCK_NAMES} names; resolve_stream takes more")
+        self.names = tuple(sorted((r.city_norm, r.city) for r in rows))
+        self.digest = hashlib.sha256(repr(self.names).encode()).hexdigest()
+
+    def city(self, norm: str | None) -> str | None:
+        """The one name that the slot holds, or the nearest if near enough; null if it holds several or none is near."""
+        if norm is None or len(norm) < LEAST_SLOT:
+            return None
+        known, lengths, near = _compiled(self.names)
+        parts = {norm[i : i + n] for n in lengths for i in range(len(norm) - n + 1)}
+        held = [known[p] for p in parts if p in known]
+        if held:
+            return held[0] if len(held) == 1 else None
+        score, _, found, city = near.best(norm, LEAST_SCORE)
+        return city if score >= LEAST_SCORE and abs(len(found) - len(norm)) <= MOST_GAP else None
+
+
+@lru_cache(maxsize=2)
+def _compiled(names: tuple[tuple[str, str], ...]) -> tuple[dict[str, str], list[int], Names]:
+    return dict(names), sorted({len(n) for n, _ in names}), Names([(k, norm, city) for k, (norm, city) in enumerate(names)])
+
+
+def normal_slots(orders: DataFrame) -> DataFrame:
+    """``orders`` with ``dep_norm, dest_norm``, the normal forms of their slots; columns only, so for streams too."""
+    found = order_slots(orders)
+    norms = (norm_ascii(F.col(f"{side}_slot")).alias(f"{side}_norm") for side in ("dep", "dest"))
+    return found.select(*(F.col(f"`{c}`") for c in orders.columns), *norms)
+
+
 def parsed_rows(orders: DataFrame, cities: DataFrame) -> DataFrame:
     """Every row of ``orders`` (with a ``sentence``) as ``row``, with ``departure`` and ``destination``.
 
