@@ -11,10 +11,15 @@ Copies cost nothing here: equal fingerprints are one row from the start. A bucke
 value within one bit of theirs outside the two equal segments (39 values). Two of them are within two
 bits of each other just if they name a common value, and at most 39 fingerprints name the same one, so
 such a bucket costs rows in proportion to its members and loses no link.
+
+Where an exact check follows, more bits may differ (``wide_pairs``): seven segments and six bits, so that the budgets of one, two and three
+segments are 0, 1 and 2 bits. Members name what the three segments hold (27 bits) and all within one bit of it in the last
+two; two that keep the budgets name a common value.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import partial
 from itertools import islice
 
@@ -25,14 +30,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from orderflow.llm._shared import table, written
+from orderflow.llm._shared import drop_written, table, written
 from orderflow.llm.components import connected_components
 
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MAX_BITS = 2
+WIDE_SEGMENTS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
+WIDE_BITS = 6
 SEED = 42
 
 
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that over half of the hashes have, as a signed long; the hashes come in slices."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprint_of(text: bytes, width: int = 3) -> int:
     """The SimHash of one UTF-8 text as a signed long; a text without words has 0."""
     words = text.lower().split()  # of bytes: A-Z only, and the six ASCII blanks only
@@ -42,11 +58,8 @@ def fingerprint_of(text: bytes, width: int = 3) -> int:
         shingles, n = iter([b" ".join(words)]), 1
     else:
         shingles, n = map(b" ".join, zip(*(words[i:] for i in range(width)))), len(words) - width + 1
-    digest, counts = partial(xxhash.xxh64_intdigest, seed=SEED), np.zeros(64, np.int64)
-    for left in range(n, 0, -65536):
-        h = np.fromiter(map(digest, islice(shingles, 65536)), np.uint64, min(left, 65536))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+    digest = partial(xxhash.xxh64_intdigest, seed=SEED)
+    return majority(np.fromiter(map(digest, islice(shingles, 65536)), np.uint64, min(left, 65536)) for left in range(n, 0, -65536))
 
 
 @F.arrow_udf(LongType())
@@ -121,6 +134,50 @@ def near_links(fingerprints: DataFrame, hot_bucket: int = 64) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def _wide_keys(fp: Column) -> Column:
+    """The values that a fingerprint names, each with the start of its chain above the 27 or 28 bits."""
+    n, out = len(WIDE_SEGMENTS), []
+    for i in range(n):
+        chain = [WIDE_SEGMENTS[(i + k) % n] for k in range(3)]
+        held = fp.bitwiseAND(F.lit(sum((1 << w) - 1 << at for at, w in chain) - (1 << 64 if any(at + w == 64 for at, w in chain) else 0)).cast("long"))
+        flips = [0] + [(1 << at + b) - (1 << 64 if at + b == 63 else 0) for at, w in chain[1:] for b in range(w)]
+        out += [F.struct(F.lit(i).cast("byte").alias("start"), held.bitwiseXOR(F.lit(m).cast("long")).alias("value")) for m in flips]
+    return F.array(*out)
+
+
+def _keeps_budgets(x: Column, start: Column) -> Column:
+    """Whether the differing bits ``x`` keep the budget of each prefix of the chain from ``start``, the whole ring included."""
+    n, out = len(WIDE_SEGMENTS), F.lit(False)
+    for i in range(n):
+        fits, spent = F.bit_count(x) <= WIDE_BITS, F.lit(0)
+        for k in range(n - 1):
+            at, width = WIDE_SEGMENTS[(i + k) % n]
+            spent = spent + F.bit_count(F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+            fits = fits & (spent <= (k + 1) * WIDE_BITS // n)
+        out = F.when(start == i, fits).otherwise(out)
+    return out
+
+
+def wide_pairs(fingerprints: DataFrame, few: int = 8) -> DataFrame:
+    """Distinct fingerprints ``fp`` (long) to pairs ``(u, v)``, ``u > v``, of those within six bits, as candidates of an exact check.
+
+    Every pair that meets in a bucket of at most ``few`` is given. In a larger bucket each member meets the smallest one only, so that a
+    group of copies costs rows in proportion to its size; the caller has another way to what that leaves.
+    """
+    dealt = fingerprints.select("fp", F.explode(_wide_keys(F.col("fp"))).alias("c")).select("fp", "c.start", "c.value")
+    met = dealt.groupBy("start", "value").agg(F.count("*").alias("n"), F.max("fp").alias("u"), F.min("fp").alias("v")).where("n > 1")
+    met = written(met, "rings")
+    more = written(dealt.join(met.where("n > 2").select("start", "value", "n", "v"), ["start", "value"]), "rings")
+    some = more.where(F.col("n") <= few)
+    x, y = (some.select("start", "value", F.col("fp").alias(k)) for k in "uv")
+    pairs = met.where("n = 2").select("start", "u", "v").unionByName(x.join(y, ["start", "value"]).where("u > v").select("start", "u", "v"))
+    pairs = pairs.unionByName(more.where((F.col("n") > few) & (F.col("fp") != F.col("v"))).select("start", F.col("fp").alias("u"), "v"))
+    out = written(pairs.where(_keeps_budgets(F.col("u").bitwiseXOR(F.col("v")), F.col("start"))).select("u", "v").distinct(), "near")
+    for done in (met, more):
+        drop_written(done)
+    return out
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text_hash, fp, component_id, keep_id, keep_hash``.
 
