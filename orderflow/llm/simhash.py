@@ -164,7 +164,9 @@ def wide_pairs(fingerprints: DataFrame, few: int = 8) -> DataFrame:
     Every pair that meets in a bucket of at most ``few`` is given. In a larger bucket each member meets the smallest one only, so that a
     group of copies costs rows in proportion to its size; the caller has another way to what that leaves.
     """
-    dealt = fingerprints.select("fp", F.explode(_wide_keys(F.col("fp"))).alias("c")).select("fp", "c.start", "c.value")
+    # a file of fingerprints is small, what they name is not
+    spread = fingerprints.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    dealt = spread.select("fp", F.explode(_wide_keys(F.col("fp"))).alias("c")).select("fp", "c.start", "c.value")
     met = dealt.groupBy("start", "value").agg(F.count("*").alias("n"), F.max("fp").alias("u"), F.min("fp").alias("v")).where("n > 1")
     met = written(met, "rings")
     more = written(dealt.join(met.where("n > 2").select("start", "value", "n", "v"), ["start", "value"]), "rings")
