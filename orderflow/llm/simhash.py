@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from orderflow.llm._shared import drop_written, table, written
+from orderflow.llm._shared import drop_written, met_by, table, unsent, written
 from orderflow.llm.components import connected_components
 
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -110,11 +110,11 @@ def near_links(fingerprints: DataFrame, hot_bucket: int = 64) -> DataFrame:
     """
     dealt = fingerprints.select("fp", F.explode(_chain_keys(F.col("fp"))).alias("c")).select("fp", "c.start", "c.key")
     sizes = dealt.groupBy("start", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(dealt.join(sizes, ["start", "key"]), "buckets")
+    met = written(dealt.join(unsent(sizes), ["start", "key"]), "buckets")
     few, many = met.where(F.col("n") <= hot_bucket), met.where(F.col("n") > hot_bucket)
     pairs = (
         few.select("start", "key", F.col("fp").alias("u"))
-        .join(few.select("start", "key", F.col("fp").alias("v")), ["start", "key"])
+        .join(unsent(few.select("start", "key", F.col("fp").alias("v"))), ["start", "key"])
         .where(F.col("u") > F.col("v"))
         .where(_within_budget(F.col("u").bitwiseXOR(F.col("v")), F.col("start"), MAX_BITS))
         .select("u", "v")
@@ -169,10 +169,10 @@ def wide_pairs(fingerprints: DataFrame, few: int = 8) -> DataFrame:
     dealt = spread.select("fp", F.explode(_wide_keys(F.col("fp"))).alias("c")).select("fp", "c.start", "c.value")
     met = dealt.groupBy("start", "value").agg(F.count("*").alias("n"), F.max("fp").alias("u"), F.min("fp").alias("v")).where("n > 1")
     met = written(met, "rings")
-    more = written(dealt.join(met.where("n > 2").select("start", "value", "n", "v"), ["start", "value"]), "rings")
+    more = written(met_by(dealt, met.where("n > 2").select("start", "value", "n", "v"), ["start", "value"]), "rings")
     some = more.where(F.col("n") <= few)
     x, y = (some.select("start", "value", F.col("fp").alias(k)) for k in "uv")
-    pairs = met.where("n = 2").select("start", "u", "v").unionByName(x.join(y, ["start", "value"]).where("u > v").select("start", "u", "v"))
+    pairs = met.where("n = 2").select("start", "u", "v").unionByName(x.join(unsent(y), ["start", "value"]).where("u > v").select("start", "u", "v"))
     pairs = pairs.unionByName(more.where((F.col("n") > few) & (F.col("fp") != F.col("v"))).select("start", F.col("fp").alias("u"), "v"))
     out = written(pairs.where(_keeps_budgets(F.col("u").bitwiseXOR(F.col("v")), F.col("start"))).select("u", "v").distinct(), "near")
     for done in (met, more):
