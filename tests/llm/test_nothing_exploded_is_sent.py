@@ -36,4 +36,4 @@ def test_exploded_rows_are_not_broadcast(spark, monkeypatch, classes):
     # which texts are read for their shingles is sent by an own count (near_copies.SENT)
     plans.pop("shingles", None)
     wrong = [(tag, part) for tag, each in plans.items() for p in each for part in _sent_parts(p) if "Generate explode(" in part]
-    assert not wrong, wrong[0]
+    assert not wrong, f"{wrong[0][0]}\n{wrong[0][1][:1500]}"
