@@ -55,3 +55,17 @@ def test_names_in_memory_of_near_lengths():
     for s in _slots():
         _, score, name = best_of_all(s, names)
         assert known.best(s, 85.0, 4)[2] == (name if score and abs(len(name) - len(s)) <= 4 else "")
+        assert (known.closest(s) or (0, 0, name))[2] == name
+    single = Names([(k, n, n) for k, n in enumerate(ALIKE)])
+    found = {s: single.closest(s) for s in _slots()}
+    assert all(best_of_all(s, ALIKE)[1:] == (round(x[0], 6), x[2]) for s, x in found.items() if x) and sum(map(bool, found.values())) > 40
+
+
+def test_a_stream_takes_more_names_than_a_block(spark):
+    """Over 20,000 names, held to the batch job; a stream raised an error before."""
+    names = ["bourg" + f"{i:05d}".translate(str.maketrans("0123456789", "afhjkmpquv")) for i in range(20_500)]
+    cities = spark.createDataFrame([(n,) for n in names], "city string")
+    slots = [f"bourgg{n[5:]}" for n in names[::4000]] + [n[:7] + n[8] + n[7] + n[9:] for n in names[70::4100]] + names[:2] + ["nulle part"]
+    wanted = {r.slot: r.city for r in extract.match_cities(spark.createDataFrame([(s,) for s in slots], "slot string"), cities).collect()}
+    matcher = extract.SlotMatcher(cities)
+    assert {s: matcher.city(s) for s in slots} == wanted and sum(map(bool, wanted.values())) > 6
